@@ -50,5 +50,23 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op5_token_store, op8_secret_scan, op9_byte_bpe)}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.quality import quality_table
+
+    return quality_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.licences import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op5_token_store, op8_secret_scan, op9_byte_bpe, op10_licence_scan)}
 ORACLE_SQL: dict[str, str] = {}
