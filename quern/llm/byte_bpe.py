@@ -227,27 +227,34 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: s
     return df.withColumn(into, run(F.col(ids_col)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256.
 
+    ``with_ids`` adds the ids themselves (array<int>).
+
     A null text counts as empty (no ids). Repeated rows and repeated ids give a row each; other columns,
     whatever their names, are not read. An empty table gives an empty result.
 
     Encoding, decoding and both digests run in one pass over Arrow batches; no row is shuffled.
     """
 
-    @arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    @arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>>" if with_ids else ">"))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec, table = _codec(path, pattern)
         digit = codec.digits.__getitem__
         for batch in batches:
-            n, sha, back = [], [], []
+            n, sha, back, all_ids = [], [], [], []
             for texts in in_slices([t or "" for t in batch.to_pylist()]):
                 for parts in table.values_of(texts):
                     ids = [i for part in parts for i in part]
                     n.append(len(ids))
                     sha.append(hashlib.sha256(",".join(map(digit, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(codec.text(ids)).hexdigest())
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+                    if with_ids:
+                        all_ids.append(np.array(ids, dtype=np.int32))
+            columns, names = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.StructArray.from_arrays(columns, names=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("r")).select("doc_id", "r.*")

@@ -68,5 +68,23 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op5_token_store, op8_secret_scan, op9_byte_bpe, op10_licence_scan)}
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.near_duplicates import near_duplicate_classes
+
+    return near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.html_text import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.vector_duplicates import vector_classes
+
+    return vector_classes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan)}
 ORACLE_SQL: dict[str, str] = {}
