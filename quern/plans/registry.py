@@ -10,13 +10,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of (spark, sf_dir) as query ``name``, with its SQL if it has one."""
+def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()):
+    """Register a function of (spark, sf_dir) as query ``name``, with its SQL if it has one.
+
+    ``ints`` are columns that are 32-bit in Spark, where DuckDB makes them 64-bit.
+    """
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = sql if not ints else f"SELECT * REPLACE ({', '.join(f'{c}::INTEGER AS {c}' for c in ints)}) FROM ({sql})"
         return f
 
     return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Pieces of DuckDB SQL, each a second writing of an expression in quern.functions.
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(coalesce({text}, ''), '{SPACE}+'), lambda w: w <> '')"
+
+
+def sql_strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def sql_tokens(text: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(lower(coalesce({text}, '')), '([\\x{{0D80}}-\\x{{0DFF}}\\x{{200D}}]+|[a-zA-Z]+|\\p{{Nd}}+)', 1), lambda t: trim(t, chr(8205))), lambda t: length(t) >= 2)"
+
+
+def sql_dot(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b})"
+
+
+def sql_unit(v: str) -> str:
+    return f"list_transform({v}::DOUBLE[], lambda x: x / sqrt(list_dot_product({v}::DOUBLE[], {v}::DOUBLE[])))"
