@@ -6,8 +6,8 @@ later than every register's first, which leaves about m log m arrivals of howeve
 register with the probability Jaccard of their weighted sets.
 
 Texts with equal sets are one class from the start. Classes that agree in all registers of a band are candidates.
-In each band's bucket every member is first compared with one member chosen at random, so a bucket of any size
-makes as many pairs as it has members; what these links join is one component. Only where a bucket then still holds
+In each band's bucket every member is first compared with one member, the first in one of a few random orders that
+bands share, so copies make a few pairs each, however many there are; what these links join is one component. Only where a bucket then still holds
 several components are members of different components paired, in blocks spread over tasks, and only those whose
 registers agree often enough. Every pair is verified exactly by the Jaccard similarity of the sets of runs.
 """
@@ -33,6 +33,8 @@ REGISTERS = BANDS * ROWS
 #: Share of registers below which a pair in a mixed bucket isn't verified: five deviations under ``SIMILARITY``.
 AGREEMENT = 0.65
 BLOCK = 256
+#: Random orders by which buckets choose their leaders: copies that share all bands meet as many leaders at most.
+ORDERS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,7 +169,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     sketch = materialise(sketches(docs, id_col, text_col), "sketches")
     classes = materialise(sketch.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "registers"), F.struct("doc_id", "registers")).alias("s")).select("content", "doc_id", "s.*"), "classes")
     rows = classes.select("content", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("content", F.xxhash64("key", "content")).alias("leader")).where("n > 1")
+    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("content", F.xxhash64(F.pmod("band", F.lit(ORDERS)), "content")).alias("leader")).where("n > 1")
     crowded = materialise(rows.join(buckets, "key"), "buckets")
     star = materialise(crowded.where("content <> leader").select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct(), "star")
 
