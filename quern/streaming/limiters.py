@@ -94,25 +94,22 @@ def lockout(attempts: DataFrame, key: str, at: str, tie: str, success: str, most
 def lockout_stream(attempts: DataFrame, key: str, at: str, success: str, most: int = FAILURES, seconds: int = LOCKOUT) -> DataFrame:
     """The same over a stream (append mode): of each micro-batch and key, locked and counted attempts and the count.
 
-    State is two numbers a key and expires with the window.
+    State is two numbers a key; it goes when the watermark has passed the end of the key's window.
     """
 
     def fold(k, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         lock = Lock(*state.get) if state.exists else Lock()
-        rows = pd.concat(frames).sort_values("t")
+        rows = pd.concat(list(frames)).sort_values("t")
         locked = [lock.attempt(int(t), bool(s), most, seconds * 1_000_000) for t, s in zip(rows["t"], rows["s"], strict=True)]
         state.update((lock.count, lock.until))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(lock.until // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [k[0]], "attempts": [len(locked)], "locked": [sum(locked)], "failures": [lock.count]})
 
-    def expired(k, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        yield from fold(k, list(frames), state)
-
-    rows = attempts.select(F.col(key), micros(F.col(at)).alias("t"), F.col(success).alias("s"))
-    return rows.groupBy(key).applyInPandasWithState(expired, f"{key} {dict(attempts.dtypes)[key]}, attempts bigint, locked bigint, failures bigint", "count int, until bigint", "append", "ProcessingTimeTimeout")
+    rows = attempts.select(F.col(key), micros(F.col(at)).alias("t"), F.col(at).cast("timestamp").alias("at"), F.col(success).alias("s")).withWatermark("at", f"{seconds} seconds")
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {dict(attempts.dtypes)[key]}, attempts bigint, locked bigint, failures bigint", "count int, until bigint", "append", "EventTimeTimeout")
 
 
 def breaker(calls: DataFrame, key: str, at: str, tie: str, ok: str, failures: int = 5, seconds: int = 30) -> DataFrame:
