@@ -241,8 +241,9 @@ def _finder(items, counts):
 def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
     """``docs`` with an array of the verified items that each whole text holds: item_id, score and both overlaps.
 
-    An item of one word makes no pair of words and is never found. A null or empty text, and an empty table of items, give an empty array. Items with a null id or text are left
-    out; items with equal texts are each reported. Documents are not shuffled and no other column is read. The
+    An item of one word makes no pair and is found only in a text of that one word. A null or empty text, and an empty
+    table of items, give an empty array. Items with a null id or text are left out; items with equal texts are each
+    reported. Documents are not shuffled and no other column is read. The
     items, in slices of at most ``SLICE_ITEMS`` rows and ``SLICE_CHARS`` characters, go to every task.
     """
     bench = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct().orderBy("item", "text")
