@@ -132,6 +132,11 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit("|"), F.lit("\\|"))
 
 
+def unfence(text: Column) -> Column:
+    """``text`` without what could pass for markup of a prompt: tags, and roles at the beginning of a line."""
+    return F.regexp_replace(F.regexp_replace(text, r"</?[A-Za-z_][\w-]*>", ""), r"(?im)^\s*(system|assistant|user|tool)\s*:", "")
+
+
 def object_of(text: Column) -> Column:
     """The JSON object in ``text``: the whole, or what stands from the first ``{`` to the last ``}``; else null."""
     whole = F.when(F.try_parse_json(text).isNotNull() & F.ltrim(text).startswith("{"), text)

@@ -107,3 +107,16 @@ def catalogue(facet: DataFrame, by: str = "user_id") -> DataFrame:
     """(by, titles, version): each user's titles in order and the version that names exactly this list."""
     listed = facet.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("lesson_index", "title"))), lambda x: x["title"]).alias("titles"))
     return listed.withColumn("version", T.catalogue_version(F.col("titles")))
+
+
+def titles_by_index(asked: DataFrame, facet: DataFrame, listed: DataFrame, by: str = "user_id") -> DataFrame:
+    """(query_id, titles, status) of requests (query_id, user, lesson_indexes, version) that name lessons by their place.
+
+    Places count from 1 and hold for one version of the catalogue. Status: ``ok``, ``no_lessons``,
+    ``stale_catalogue`` for another version than the present one, ``unknown_lesson`` for a place that isn't there.
+    """
+    wanted = asked.select("query_id", by, F.explode(F.array_distinct("lesson_indexes")).alias("lesson_index"))
+    found = wanted.join(facet.select(by, "lesson_index", "title"), [by, "lesson_index"]).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("lesson_index", "title"))), lambda x: x["title"]).alias("found"))
+    rows = asked.join(listed.select(by, F.col("version").alias("present")), by, "left").join(found, "query_id", "left")
+    status = F.when(F.col("present").isNull(), "no_lessons").when(F.col("version") != F.col("present"), "stale_catalogue").when(F.coalesce(F.size("found"), F.lit(0)) < F.size(F.array_distinct("lesson_indexes")), "unknown_lesson").otherwise("ok")
+    return rows.select("query_id", F.when(status == "ok", F.col("found")).alias("titles"), status.alias("status"))

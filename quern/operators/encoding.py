@@ -13,8 +13,8 @@ from quern.functions import text as T
 from quern.functions.hashing import bucket
 
 K1 = 1.2
-#: Characters of a text that a dense model gets, and texts that one embedding call takes.
-DENSE_CHARS, MOST_TEXTS = 8192, 128
+#: Characters of a text that a dense model gets.
+DENSE_CHARS = 8192
 
 
 def saturated(count: Column, k1: float = K1) -> Column:

@@ -80,3 +80,22 @@ def transcript(messages: DataFrame, session: str, index: str, most: int = 2, cha
     """The last messages of each session, each cut, for a model that draws memories from them."""
     ranked = messages.withColumn("__n", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(index)))).where(F.col("__n") <= most)
     return ranked.groupBy(session).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(index, F.concat(F.upper("role"), F.lit(": "), F.left("text", F.lit(chars))).alias("line")))), lambda x: x["line"]), "\n").alias("transcript"))
+
+
+def flatten(hits: DataFrame, payload: str = "payload") -> DataFrame:
+    """Recalled rows with ``content``: an episode's four parts, else its content, instruction or searchable text. Keys
+    of the payload (a map) that begin with an underscore are dropped."""
+    public = F.map_filter(F.col(payload), lambda k, v: ~k.startswith("_"))
+    part = lambda k: F.try_element_at(F.col(payload), F.lit(k))
+    episode = F.concat_ws("\n", F.concat(F.lit("Situation: "), part("situation")), F.concat(F.lit("Action: "), part("action")), F.concat(F.lit("Outcome: "), part("outcome")), F.concat(F.lit("Lesson: "), part("lesson")))
+    return hits.withColumn(payload, public).withColumn("content", F.when(F.col("kind") == "episodic", episode).otherwise(F.coalesce(part("content"), part("instruction"), F.col("searchable_text"))))
+
+
+def working_window(messages: DataFrame, session: str, index: str, most: int) -> DataFrame:
+    """The last ``most`` messages of each session, without tool results whose call is cut off before them, and without
+    a last message whose calls have no result yet."""
+    ranked = messages.withColumn("__n", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(index)))).where(F.col("__n") <= most)
+    whole = Window.partitionBy(session)
+    start = F.min(F.when(F.col("role") != "tool", F.col(index))).over(whole)
+    open_call = (F.col("__n") == 1) & (F.col("role") == "assistant") & (F.coalesce(F.col("calls"), F.lit(0)) > 0)
+    return ranked.withColumn("__start", start).where((F.col(index) >= F.col("__start")) & ~open_call).drop("__n", "__start")

@@ -21,6 +21,11 @@ def fetch_size(limit: int, oversampling: float = OVERSAMPLING) -> int:
     return max(limit, int(limit * oversampling))
 
 
+def clamp_limit(limit: Column, most: int = 40) -> Column:
+    """A caller's limit within 1 and ``most``; ``LIMIT`` where none is given."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(limit, F.lit(LIMIT))))
+
+
 def top(scored: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id") -> DataFrame:
     """The best ``k`` of each query with their rank; the limit is applied before rows are shuffled as well."""
     order = Window.partitionBy(by).orderBy(F.desc("score"), key)

@@ -6,7 +6,7 @@ A message is never lost: ``decode_*`` keep key, value and offset, and give every
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import blank_to_null
@@ -67,3 +67,24 @@ def dead_letters(decoded: DataFrame, *keep: str, most: int = 512) -> DataFrame:
 def wire(chunks: DataFrame, kind: str = "block_type") -> Column:
     """Chunks as JSON, the kind under ``type`` and ``block_type`` both."""
     return F.to_json(F.struct(*[F.col(c) for c in chunks.columns if c not in (kind, "type", "block_type")], F.col(kind).alias("type"), F.col(kind).alias("block_type")))
+
+
+def read_kafka(spark: SparkSession, servers: str, topic: str, per_batch: int = 32) -> DataFrame:
+    """A topic as a stream of messages, at most ``per_batch`` offsets a micro-batch. Needs Spark's Kafka package."""
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", per_batch).load()
+
+
+def write_kafka(rows: DataFrame, servers: str, topic: str) -> None:
+    """Write ``key`` and ``value`` of a batch, acknowledged by all replicas; a failure fails the batch."""
+    rows.select(F.col("key").cast("binary"), F.col("value").cast("binary")).write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.compression.type", "zstd").option("topic", topic).save()
+
+
+def with_captions(requests: DataFrame, cached: DataFrame, at: str, days: int = 30) -> DataFrame:
+    """Requests to describe pictures with the caption that their digest has from the last ``days``, or null.
+
+    ``cached``: image_sha256, caption, cached_at. What has no caption is what a model must still be asked.
+    """
+    newest = cached.groupBy("image_sha256").agg(F.max_by("caption", "cached_at").alias("caption"), F.max("cached_at").alias("__cached"))
+    rows = requests.join(newest, "image_sha256", "left")
+    fresh = F.col("__cached") >= F.col(at) - F.make_interval(days=F.lit(days))
+    return rows.withColumn("caption", F.when(fresh, F.col("caption"))).drop("__cached")

@@ -21,6 +21,14 @@ def source_key(user: Column, doc: Column) -> Column:
     return F.concat_ws("/", user, doc, F.lit("source.pdf"))
 
 
+def table_key(user: Column, doc: Column, table: Column) -> Column:
+    return F.concat_ws("/", user, doc, F.lit("tables"), F.concat(table.cast("string"), F.lit(".json")))
+
+
+def metadata_key(user: Column, doc: Column) -> Column:
+    return F.concat_ws("/", user, doc, F.lit("metadata.json"))
+
+
 def asset_key(user: Column, doc: Column, digest: Column, extension: Column) -> Column:
     return F.concat_ws("/", user, doc, F.lit("assets"), F.concat_ws(".", digest, extension))
 
