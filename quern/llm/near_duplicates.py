@@ -83,7 +83,8 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, content (128 bits of the set of runs; null without a word), band keys, and 16 bits of each register."""
+    """doc_id, mark (64 bits of the text), content (128 bits of the set of runs; null without a word), band keys, and 16
+    bits of each register."""
     kind = "struct<content:binary,bands:array<bigint>,registers:binary>"
 
     @arrow_udf(kind)
@@ -105,7 +106,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 registers.append(mix(winner).astype("<u2").tobytes())
             yield pa.StructArray.from_arrays([pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())], names=["content", "bands", "registers"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), run(F.col(text_col)).alias("s")).select("doc_id", "s.*")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), run(F.col(text_col)).alias("s")).select("doc_id", "mark", "s.*")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -167,17 +168,17 @@ def _mixed_pairs(members: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketches of ``docs``, and (node, component) of the contents that have a link."""
     sketch = materialise(sketches(docs, id_col, text_col), "sketches")
-    classes = materialise(sketch.where("content is not null").groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "registers"), F.struct("doc_id", "registers")).alias("s")).select("content", "doc_id", "s.*"), "classes")
+    classes = materialise(sketch.where("content is not null").groupBy("content").agg(F.min_by(F.struct("doc_id", "mark", "bands", "registers"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s")).select("content", "s.*"), "classes")
     rows = classes.select("content", F.posexplode("bands").alias("band", "key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("content", F.xxhash64(F.pmod("band", F.lit(ORDERS)), "content")).alias("leader")).where("n > 1")
     crowded = materialise(rows.join(buckets, "key"), "buckets")
     star = materialise(crowded.where("content <> leader").select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct(), "star")
 
-    # Texts of the classes that any bucket holds with others; a row whose text isn't the class's (an id given twice) is left out.
-    wanted = classes.join(crowded.select("content").distinct(), "content", "left_semi").select("content", F.col("doc_id").alias("wanted_id"))
-    named = docs.select(F.col(id_col).alias("named_id"), F.col(text_col).alias("text"))
-    texts = named.join(wanted, F.col("named_id").eqNullSafe(F.col("wanted_id"))).select("content", "text")
-    texts = materialise(texts.where(content_of("text") == F.col("content")).dropDuplicates(["content"]), "texts")
+    # Texts of the classes that any bucket holds with others, by id and mark together, as an id may be given twice.
+    wanted = classes.join(crowded.select("content").distinct(), "content", "left_semi").select("content", F.col("doc_id").alias("wanted_id"), F.col("mark").alias("wanted_mark"))
+    named = docs.select(F.col(id_col).alias("named_id"), F.xxhash64(text_col).alias("named_mark"), F.col(text_col).alias("text"))
+    texts = named.join(wanted, F.col("named_id").eqNullSafe(F.col("wanted_id")) & (F.col("named_mark") == F.col("wanted_mark"))).select("content", "text")
+    texts = materialise(texts.dropDuplicates(["content"]), "texts")
 
     links = materialise(similar(star, texts), "star-links")
     part = components(links)
@@ -191,10 +192,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
 
 def _classes(named: DataFrame, found: DataFrame) -> DataFrame:
-    """``named`` (doc_id, content) with component (null without a word) and class_id."""
+    """``named`` (doc_id, mark, content) with component (null without a word) and class_id."""
     named = named.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
     smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return named.join(smallest, "component", "left").select("doc_id", "content", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return named.join(smallest, "component", "left").select("doc_id", "mark", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,11 +207,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Columns other than the two are not read. An empty table gives an empty result.
     """
     sketch, found = _linked(docs, id_col, text_col)
-    return _classes(sketch.select("doc_id", "content"), found).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return _classes(sketch.select("doc_id", "mark", "content"), found).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
-def _key(doc_id, content):
-    return F.concat_ws("|", F.hex(content), doc_id.cast("string"))
+def _key(doc_id, mark):
+    return F.concat_ws("|", mark.cast("string"), doc_id.cast("string"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,26 +219,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Texts that are linked with nothing stay, those without a word included. Where several rows of a class have the
     smallest id (an id given twice), one of them stays. Copies that go never meet in one task: a row is looked up
-    by its content and id together.
+    by its id and the mark of its text together.
     """
     sketch, found = _linked(docs, id_col, text_col)
-    kept = _classes(sketch.select("doc_id", "content"), found).where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.groupBy("component").agg(F.min(F.struct("content", "doc_id")).alias("k")).select(_key(F.col("k.doc_id"), F.col("k.content")).alias("__key"), F.lit(True).alias("__kept"))
-    rows = docs.select(F.struct("*").alias("__row"), content_of(text_col).alias("__content"))
-    rows = rows.select("__row", F.col("__content").isNull().alias("__wordless"), F.when(F.col("__content").isNull(), F.concat(F.lit("-"), F.xxhash64(f"__row.{id_col}", f"__row.{text_col}").cast("string"))).otherwise(_key(F.col(f"__row.{id_col}"), F.col("__content"))).alias("__key"))
-    rows = rows.join(kept, "__key", "left").where("__wordless or __kept")
+    classes = _classes(sketch.select("doc_id", "mark", "content"), found).withColumn("__key", _key(F.col("doc_id"), F.col("mark")))
+    kept = classes.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("__key").alias("__key")).select("__key", F.lit(False).alias("__wordless"))
+    wordless = classes.where("component is null").select("__key", F.lit(True).alias("__wordless")).distinct()
+    rows = docs.select(F.struct("*").alias("__row"), _key(F.col(id_col), F.xxhash64(text_col)).alias("__key")).join(kept.union(wordless), "__key")
     nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     return rows.withColumn("__nth", nth).where("__wordless or __nth = 1").select("__row.*")
-
-
-def content_of(text_col: str):
-    """The 128 bits of a text's set of runs, as ``sketches`` has them."""
-
-    @arrow_udf("binary")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [hashes.of(t or "") for t in batch.to_pylist()]
-            yield pa.array([blake2b(np.unique(grams(w, WORDS)).tobytes(), digest_size=16).digest() if len(w) else None for w in found], pa.binary())
-
-    return run(F.col(text_col))
