@@ -15,6 +15,8 @@ from quern.functions.hashing import bucket
 K1 = 1.2
 #: Characters of a text that a dense model gets.
 DENSE_CHARS = 8192
+#: Terms of a vocabulary (some ten bytes each) up to which it is broadcast.
+SMALL = 200_000
 
 
 def saturated(count: Column, k1: float = K1) -> Column:
@@ -27,15 +29,21 @@ def idf(n_docs: Column, n_with: Column) -> Column:
     return F.log(1 + (n_docs - n_with + 0.5) / (n_with + 0.5))
 
 
-def term_counts(rows: DataFrame, key: str, text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
-    """(key, term, n): how often each token stands in each text. With a ``vocabulary`` (term) only its tokens.
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df``, with a hint to broadcast it if it has at most ``most`` rows; else a join of it is left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    Counting is combined before the shuffle, where all tokens of a text still are in one task.
+
+def term_counts(rows: DataFrame, *keys: str, text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(keys, term, n): how often each token stands in each text. With a ``vocabulary`` (term) only its tokens.
+
+    Counting is combined before the shuffle, where all tokens of a text still are in one task. A vocabulary of at
+    most ``SMALL`` terms goes to the tasks, so that no other token is shuffled.
     """
-    found = rows.select(key, F.explode(T.tokens(F.col(text))).alias("term"))
+    found = rows.select(*keys, F.explode(T.tokens(F.col(text))).alias("term"))
     if vocabulary is not None:
-        found = found.join(vocabulary, "term", "left_semi")
-    return found.groupBy(key, "term").agg(F.count("*").alias("n"))
+        found = found.join(small(vocabulary), "term", "left_semi")
+    return found.groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
 def sparse_vectors(rows: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -39,14 +39,16 @@ def sparse_topk(chunks: DataFrame, queries: DataFrame, k: int, statistics: DataF
     whoever owns them). Only tokens of the queries are exploded further, so what moves is their postings. A query
     without a token finds nothing. ``owners`` (chunk_id, user_id) says who sees a chunk, if not its own column.
     """
-    wanted = term_counts(queries, "query_id").join(queries.select("query_id", "user_id"), "query_id")
+    wanted = term_counts(queries, "query_id", "user_id")
     vocabulary = wanted.select("term").distinct()
     everything = chunks if statistics is None else statistics
-    postings = term_counts(chunks, "chunk_id", vocabulary=vocabulary)
-    with_term = (postings if statistics is None else term_counts(statistics, "chunk_id", vocabulary=vocabulary)).groupBy("term").agg(F.count("*").alias("n_with"))
+    postings = term_counts(chunks, "chunk_id", "user_id", vocabulary=vocabulary)
+    counted = postings if statistics is None else term_counts(statistics, "chunk_id", "user_id", vocabulary=vocabulary)
+    # Each posting adds one; said by its count, so that Spark sees the same postings twice and makes them once.
+    with_term = counted.groupBy("term").agg(F.sum(F.least(F.col("n"), F.lit(1))).alias("n_with"))
     weights = with_term.crossJoin(F.broadcast(everything.agg(F.count("*").alias("n_docs")))).select("term", idf(F.col("n_docs"), F.col("n_with")).alias("idf"))  # one row
     asked = wanted.join(weights, "term").select("query_id", "user_id", "term", (saturated(F.col("n")) * F.col("idf")).alias("weight"))
-    owned = postings.join(chunks.select("chunk_id", "user_id") if owners is None else owners, "chunk_id")
+    owned = postings if owners is None else postings.drop("user_id").join(owners, "chunk_id")
     scored = owned.join(asked, ["term", "user_id"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(saturated(F.col("n")) * F.col("weight")), 6).alias("score"))
     return top(scored, k)
 
