@@ -7,7 +7,9 @@ cosine. As the bounds hold for every vector of a cell, the recall is 1, whatever
 fitted on. What is met there is verified in double precision.
 
 Equal vectors of a label are one class, counted, so a vector with very many copies makes no pairs. A cell with many
-vectors is cut into blocks, and what visits it into chunks, so that no task gets an unbounded group.
+vectors is cut into blocks, and what visits it into chunks, so that no task gets an unbounded group. Each pair of block
+and chunk gives the number of links of each visitor, and for each vector of a group that links join one row, not a row
+for each link.
 """
 
 from __future__ import annotations
@@ -89,8 +91,22 @@ def _unit(column: pa.Array, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def linked_pairs(classes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes (cid, label, vec of ``size`` components) of one label with a cosine of ``similarity`` or more."""
+def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` nodes the smallest that the links (a, b) reach, by passing labels along and jumping."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def links(classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links between classes (cid, label, vec of ``size`` components, n) of one label with a cosine of ``similarity`` or
+    more, as rows (a, b, m): with b, that links join a and b; without, that a has m linked vectors in one place."""
     n = classes.count()
     k, half = codebook_size(n), size // 2
     sample = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) <= F.lit((1 << 20) * SAMPLE / n)).select("vec").limit(2 * SAMPLE).toArrow()
@@ -106,30 +122,36 @@ def linked_pairs(classes: DataFrame, size: int, similarity: float) -> DataFrame:
             (i, d1), (j, d2) = nearest(unit[:, :half], books[0]), nearest(unit[:, half:], books[1])
             b1, b2 = cell_bounds(d1, books[0]) ** 2, cell_bounds(d2, books[1]) ** 2
             visits = [multi_sequence(p, q, limit) for p, q in zip(b1, b2, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i * len(books[1]) + j, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["cid", "label", "vec", "cell", "visits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i * len(books[1]) + j, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["cid", "label", "vec", "n", "cell", "visits"])
 
-    placed = materialise(classes.select("cid", "label", "vec").mapInArrow(place, "cid binary, label bigint, vec array<double>, cell int, visits array<int>"), "cells")
-    stored = placed.groupBy("label", "cell").agg(F.count("*").alias("n"))
+    placed = materialise(classes.select("cid", "label", "vec", "n").mapInArrow(place, "cid binary, label bigint, vec array<double>, n bigint, cell int, visits array<int>"), "cells")
+    stored = placed.groupBy("label", "cell").agg(F.count("*").alias("held"))
     visited = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count("*").alias("m"))
-    sizes = stored.join(visited, ["label", "cell"]).select("label", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    sizes = stored.join(visited, ["label", "cell"]).select("label", "cell", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
     salt = F.xxhash64("cid", F.lit(1))
-    held = placed.join(sizes, ["label", "cell"]).select("label", "cell", F.pmod(salt, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "cid", "vec")
-    asking = placed.select("cid", "label", "vec", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"])
-    asking = asking.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(salt, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), "cid", "vec")
+    held = placed.join(sizes, ["label", "cell"]).select("label", "cell", F.pmod(salt, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("asks"), "cid", "vec", "n")
+    asking = placed.select("cid", "label", "vec", "n", F.explode("visits").alias("cell")).join(sizes, ["label", "cell"])
+    asking = asking.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(salt, F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("asks"), "cid", "vec", "n")
 
     def verify(table: pa.Table) -> pa.Table:
-        unit, asks, cid = _unit(table["vec"], size), table["asks"].to_numpy(), table["cid"].to_pylist()
+        unit, asks, cid, n = _unit(table["vec"], size), table["asks"].to_numpy(), table["cid"].to_pylist(), table["n"].to_numpy()
+        number: dict[bytes, int] = {}
+        node = np.array([number.setdefault(c, len(number)) for c in cid])
         ask, hold = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
+        a, b, m = [], [], np.zeros(len(number), dtype=np.int64)
         for some in range(0, len(ask), 1024):
             p, q = np.nonzero(unit[ask[some : some + 1024]] @ unit[hold].T >= similarity)
-            for x, y in zip(ask[some : some + 1024][p].tolist(), hold[q].tolist(), strict=True):
-                if cid[x] < cid[y]:  # the other way round it is found from the other side
-                    a.append(cid[x])
-                    b.append(cid[y])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            p, q = ask[some : some + 1024][p], hold[q]
+            other = node[p] != node[q]
+            np.add.at(m, node[p[other]], n[q[other]])
+            a.append(node[p[other]])
+            b.append(node[q[other]])
+        group = joined(np.concatenate([*a, np.zeros(0, dtype=np.int64)]), np.concatenate([*b, np.zeros(0, dtype=np.int64)]), len(number))
+        names = list(number)
+        has, moved = np.flatnonzero(m), np.flatnonzero(group != np.arange(len(number)))
+        return pa.table({"a": pa.array([names[k] for k in [*has, *moved]], pa.binary()), "b": pa.array([*[None] * len(has), *[names[group[k]] for k in moved]], pa.binary()), "m": pa.array([*m[has].tolist(), *[None] * len(moved)], pa.int64())})
 
-    return held.union(asking).groupBy("label", "cell", "block", "chunk").applyInArrow(verify, "a binary, b binary")
+    return held.union(asking).groupBy("label", "cell", "block", "chunk").applyInArrow(verify, "a binary, b binary, m bigint")
 
 
 def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", similarity: float = 0.98) -> DataFrame:
@@ -147,13 +169,12 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     rows = rows.withColumn("cid", F.when(good, F.unhex(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")))))))
     classes = materialise(rows.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("least")), "vectors")
     sizes = [r[0] for r in classes.select(F.size("vec")).distinct().orderBy(F.size("vec")).collect()]
-    pairs = vectors.sparkSession.createDataFrame([], "a binary, b binary")
+    found = vectors.sparkSession.createDataFrame([], "a binary, b binary, m bigint")
     for size in sizes:
-        pairs = pairs.union(linked_pairs(classes.where(F.size("vec") == size), size, similarity))
-    pairs = materialise(pairs, "vector-links")
-    both = pairs.union(pairs.select("b", "a"))
-    counts = both.join(classes.select(F.col("cid").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("m")).withColumnRenamed("a", "cid")
-    part = components(pairs).withColumnRenamed("node", "cid")
+        found = found.union(links(classes.where(F.size("vec") == size), size, similarity))
+    found = materialise(found, "vector-links")
+    counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("m").alias("m"))
+    part = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     known = classes.select("cid", "n", "least").join(counts, "cid", "left").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     known = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "cid").join(known, "cid", "left")
