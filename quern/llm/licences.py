@@ -134,5 +134,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_max(starts).cast("bigint").alias("last_word"),
         in_text(base).alias("base_labels"),
         in_text(F.concat(base, more)).alias("labels"),
-        F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("found", lambda f: f["s"])), F.lit(0.0)))).alias("score"),
+        F.when(F.size(starts) > 0, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform("found", lambda f: f["s"])), F.lit(0.0))), 6)).alias("score"),
     )

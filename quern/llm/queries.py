@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm import oracles
+
 TOKENIZER_FILES = "/opt/tokenizers"
 
 
@@ -87,4 +89,4 @@ def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_vector_duplicates": oracles.vector_classes(), "op10_licence_scan": oracles.licence_scan()}

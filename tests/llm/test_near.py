@@ -212,3 +212,19 @@ def test_decontamination_query(spark, sf_dir, sample):
                 assert (i, b.item_id) in got
             elif (i, b.item_id) in got:
                 assert eights & runs(b.text, 8)
+
+
+def test_vector_sql(spark, tmp_path):
+    import duckdb
+
+    from quern.llm.oracles import vector_classes
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(6, 8))
+    rows = [(k, (centres[k % 6] + rng.normal(size=8) * 0.06).tolist(), k % 2) for k in range(60)] + [(100, None, 1), (101, [0.0] * 8, 1), (102, rows_of := centres[0].tolist(), None), (103, rows_of, 0), (104, rows_of, 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    ours = sorted(map(tuple, vector_duplicates.vector_classes(df).collect()))
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(con.sql(vector_classes()).fetchall()) == ours

@@ -104,3 +104,17 @@ def test_licence_texts(odd, docs_of):
     rows = {r.doc_id: r for r in licences.scan(docs_of(list(enumerate(LICENCES)))).collect()}
     assert rows[3].labels == "mit-notice" and rows[3].score > 0.9 and rows[4].labels == "" and rows[4].score == 0.0
     assert licences.scan(odd.limit(0)).count() == 0
+
+
+def test_licence_sql(spark, docs_of, tmp_path):
+    import duckdb
+
+    from quern.llm.oracles import licence_scan
+
+    texts = [*LICENCES, None, "", "Released under the MIT License.", "this work is licensed under the gnu general public license version 3", "redistribution and use in source and binary forms with or without changes"]
+    docs = docs_of(list(enumerate(texts)))
+    ours = sorted(map(str, (tuple(r) for r in licences.scan(docs).collect())))
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    assert sorted(map(str, con.sql(licence_scan()).fetchall())) == ours
