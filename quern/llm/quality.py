@@ -1,17 +1,18 @@
 """Operator 2: quality classifier by Naive Bayes support vectors.
 
-A document is the set of its features: character n-grams of its tokens (case and punctuation kept) and pairs of
-neighbouring token shapes, hashed. Each indicator is scaled by the log ratio of its smoothed counts in the two
+A document is the set of its features, hashed: character n-grams (case and punctuation kept) and runs of shapes, for
+which capitals, other letters and digits are one sign each and repeated signs are one, and how much of a text repeats
+the token before. Each indicator is scaled by the log ratio of its smoothed counts in the two
 classes, vectors are brought to unit length, and a linear model with hinge loss is fitted by dual coordinate
 descent; its margin is turned into a probability by a logistic curve.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from functools import cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -19,49 +20,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.shared import fold
+from quern.llm.shared import fold, grams, mix
 
 DIM = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled documents that the model is fitted on at most, taken in order of a hash of their id.
 TRAIN_DOCS = 8000
 ALPHA, COST, EPOCHS, BLEND = 1.0, 1.0, 12, 0.25
-_RUNS = (re.compile(r"[^\W\d_a-z]+"), re.compile(r"[^\W\d_A]+"), re.compile(r"\d+"), re.compile(r"(.)\1+", re.S))
+#: Code points that are read at a time, and classes of shape in a run.
+BLOCK, SHAPE_RUN = 1 << 18, 6
+#: Distances at which a token's repetition is a feature, by the share of tokens (in eighths) that are repeated there.
+ECHOES = (1, 2, 3, 4)
+_CASE = 1 << 16  # code points above count as letters
 
 
-def shape(token: str) -> str:
-    """``Thnd***`` is ``Aa*``: runs of capitals, of small letters, of digits and of one sign each become one sign."""
-    s = _RUNS[2].sub("0", token)
-    s = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in s)
-    return _RUNS[3].sub(r"\1", s)[:12]
+@cache
+def _shapes() -> np.ndarray:
+    """For each code point its class: capitals, other letters and digits are one each, every other sign its own."""
+    one = lambda c: ord("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c)
+    return np.array([one(chr(k)) for k in range(_CASE)], dtype=np.uint64)
 
 
-class TokenFeatures(dict):
-    """From a token to (features, number of its shape); a bounded table."""
+class Features:
+    """The features of texts: character n-grams and runs of shapes, hashed to ``DIM`` numbers."""
 
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, token: str):
-        if len(self) >= self.limit:
-            self.clear()
-        data = f" {token} "
-        found = {crc32(data[i : i + n].encode("utf-8", "replace")) % DIM for n in ORDERS for i in range(len(data) - n + 1)}
-        value = (tuple(found), crc32(shape(token).encode("utf-8", "replace")) % DIM)
-        if len(token) <= 64:
-            self[token] = value
-        return value
+    def __init__(self):
+        self.seen = np.zeros(DIM, dtype=bool)
 
     def of(self, text: str) -> np.ndarray:
-        """Sorted distinct features of a whole text."""
+        """Sorted distinct features of a whole text, white space taken as one space; none without a word."""
         tokens = text.split()
-        shapes = np.fromiter((self[t][1] for t in tokens), dtype=np.int64, count=len(tokens))
-        found: set[int] = set()
-        for t in set(tokens):
-            found.update(self[t][0])
-        pairs = np.unique(shapes[:-1] * 31 + shapes[1:] * 65_599 + 17) % DIM if len(tokens) > 1 else shapes
-        return np.union1d(np.fromiter(found, dtype=np.int64, count=len(found)), pairs)
+        if not tokens:
+            return np.zeros(0, dtype=np.int64)
+        plain = " ".join(tokens)
+        for k in ECHOES:
+            again = sum(map(eq, tokens, tokens[k:])) * 8 // len(tokens)
+            self.seen[int(mix(np.array([1 << 62 | k << 8 | again], dtype=np.uint64))[0] >> np.uint64(48))] = True
+        codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        for start in range(0, len(codes), BLOCK):
+            some = codes[start : start + BLOCK + max(ORDERS) - 1]
+            packed = some
+            for n in ORDERS:
+                if n > 1:
+                    packed = packed[:-1] << np.uint64(21) | some[n - 1 :]
+                self.seen[(mix(packed * np.uint64(2 * n + 1)) >> np.uint64(48)).astype(np.int64)] = True
+            kinds = _shapes()[np.minimum(some, np.uint64(_CASE - 1)).astype(np.int64)]
+            kinds = kinds[np.concatenate([[True], kinds[1:] != kinds[:-1]])]
+            self.seen[(grams(kinds, SHAPE_RUN) >> np.uint64(48)).astype(np.int64)] = True
+        found = np.flatnonzero(self.seen)
+        self.seen[found] = False
+        return found
 
 
 @dataclass
@@ -157,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     @arrow_udf("binary")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = TokenFeatures()
+        table = Features()
         for batch in batches:
             yield pa.array([table.of(t or "").astype("<u2").tobytes() for t in batch.to_pylist()], pa.binary())
 
@@ -173,7 +181,7 @@ def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", i
 
     @arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table, model = TokenFeatures(), shipped.value
+        table, model = Features(), shipped.value
         for batch in batches:
             yield pa.array([model.score(table.of(t or "")) for t in batch.to_pylist()], pa.float64())
 
