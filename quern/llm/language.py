@@ -45,7 +45,7 @@ class LanguageModel:
             table = self.grams[n]
             found = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return None
 
 
