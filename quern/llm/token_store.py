@@ -16,6 +16,7 @@ Documents are range-partitioned by (key, hash of text), so that a key with a thi
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -87,6 +88,8 @@ def lookup(keys: np.ndarray, seeds: bytes, prints: bytes, slots: bytes) -> tuple
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> SegmentTable:
+    # Spark runs a worker for each core; threads of the library's own in each would only contend for them.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
