@@ -89,6 +89,18 @@ def test_signatures_estimate_weighted_jaccard():
     assert (near_duplicates.signature(a, one(a)) == near_duplicates.signature(a[::-1].copy(), one(a))).all()
 
 
+def test_copies_that_repeat_a_passage_more_often(docs_of):
+    rng = random.Random(8)
+    story = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for _ in range(12):
+        passage, rest = story(100), story(100)
+        rows += [(len(rows), f"{passage} " * 300 + f"{rest} {story(3)}"), (len(rows) + 1, f"{passage} {rest} {story(3)}")]
+    registers = {r.doc_id: np.frombuffer(r.registers, dtype="<u2") for r in near_duplicates.sketches(docs_of(rows)).collect()}
+    assert all((registers[k] == registers[k + 1]).mean() > 0.85 for k in range(0, len(rows), 2))
+    assert sorted((r.doc_id, r.class_id) for r in near_duplicates.near_duplicate_classes(docs_of(rows)).collect()) == classes(rows) == [(k, k - k % 2) for k in range(len(rows))]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(60)] + [(100, 101), (7, 7), (None, 3), (200, 100)]
     got = {r.node: r.component for r in comp.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
