@@ -156,9 +156,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> QualityModel:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int = 1, folds: int = 3, most: int = TRAIN_DOCS) -> QualityModel:
     """Fit on at most ``most`` labelled documents outside the held-out fold.
 
-    Labels are taken in order of a hash of their id; that bounded table is broadcast to the scan of the documents,
-    so no text is shuffled, and the driver gets the features of as many documents. A document with several labels
-    counts with the largest; null ids and labels teach nothing.
+    Labels are taken in order of a hash of their id; that bounded table is broadcast to the scan of the documents.
+    An id that is given several times teaches by one of its texts, that of the smallest hash, so only a text a task
+    of each chosen id is shuffled, and the driver gets the features of at most ``most`` documents. A document with
+    several labels counts with the largest; null ids and labels teach nothing.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null").where(fold(F.col("id"), folds) != held_out)
     chosen = chosen.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most)
@@ -170,8 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.array([table.of(t or "").astype("<u2").tobytes() for t in batch.to_pylist()], pa.binary())
 
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = joined.select("id", "label", features("text").alias("x")).limit(2 * most).collect()
-    rows.sort(key=lambda r: (r.id, r.x))
+    single = joined.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("id", "label", "first.text")
+    single = single.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # else a few tasks find all features
+    rows = single.select("id", "label", features("text").alias("x")).collect()
+    rows.sort(key=lambda r: r.id)
     return fit([np.frombuffer(r.x, dtype="<u2").astype(np.int64) for r in rows], np.array([r.label for r in rows], dtype=np.int64))
 
 

@@ -24,6 +24,18 @@ def test_quality_odd_rows(spark, odd, docs_of):
     assert quality.quality_table(odd.limit(0), labels).count() == 0
 
 
+def test_a_hot_id_does_not_crowd_out_other_labels(spark, docs_of):
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    text = lambda k: f"Good prose of number {k}, well told." if k % 2 else f"BUY {k} !!! $$$ now now now"
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in ids], "doc_id bigint, quality int, toxic int")
+    once = docs_of([(k, text(k)) for k in ids]).repartition(1)
+    many = docs_of([(ids[0], text(ids[0]))] * 500).union(docs_of([(k, text(k)) for k in ids]))
+    want, got = quality.train(once, labels, most=len(ids)), quality.train(many, labels, most=len(ids))
+    assert got.value.any() and (got.value == want.value).all() and got.bias == want.bias and got.slope == want.slope
+    varied = many.union(docs_of([(ids[0], f"other text {k}") for k in range(200)]))
+    assert (quality.train(varied, labels, most=len(ids)).value == quality.train(varied.repartition(5), labels, most=len(ids)).value).all()
+
+
 def test_descent_reaches_the_optimum():
     rng = np.random.default_rng(2)
     rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(80)]
