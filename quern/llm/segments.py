@@ -26,16 +26,17 @@ def segments(text: str) -> list[str]:
 class SegmentTable(dict):
     """A bounded table from segment to what ``encode`` makes of it.
 
-    ``encode`` takes a list of whole segments, leading space included, and returns a value for each.
+    ``encode`` takes a list of whole segments, leading space included, and returns a value for each. A text that holds
+    one of ``whole``, tokens that are found before the pattern is applied, is a single segment.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 300_000, whole: tuple[str, ...] = ()):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.whole = encode, limit, whole
 
     def values_of(self, texts: list[str]) -> list[list]:
         """For each text the values of its segments, in order. New segments of all texts are encoded in one call."""
-        cut = [segments(t) for t in texts]
+        cut = [[t] if any(w in t for w in self.whole) else segments(t) for t in texts]
         if len(self) >= self.limit:
             self.clear()
         new: set[str] = set()

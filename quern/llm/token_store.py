@@ -93,12 +93,11 @@ def _table(path: str) -> SegmentTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def encode(segments: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
 
-    return SegmentTable(encode)
+    return SegmentTable(encode, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
 
 
 def _shard(part: int, number: int, base: int, keys: list, ids: list[bytes]) -> pa.RecordBatch:

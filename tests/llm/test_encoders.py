@@ -76,6 +76,19 @@ def test_token_store_odd_rows(odd):
     assert token_store.store_round_trip(odd.limit(0), JSON).count() == 0
 
 
+def test_token_store_added_token_in_a_text(docs_of):
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} two  spaces {end}\n x", f"no{end}gap <|endoftext| > {end} ", "plain text"]
+    t, want, start = Tokenizer.from_file(JSON), [], 0
+    for k, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        want.append((k, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, token_store.store_round_trip(docs_of(list(enumerate(texts))), JSON).collect())) == want
+
+
 def test_keyed_access(spark, docs_of):
     docs = docs_of([(k, f"text number {k}") for k in range(300)] + [(7, "another seven"), (None, "x")])
     path = shared_path(spark, "test-store")
