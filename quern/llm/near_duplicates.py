@@ -6,11 +6,16 @@ every register's first, which leaves about m log m arrivals of however many runs
 the probability Jaccard of their weighted sets. All weights are one, so this is the Jaccard similarity of the sets,
 by which pairs are verified, however often a text repeats a passage. At 0.8 all bands miss a pair once in 16,000.
 
-Texts with equal sets are one class from the start. Classes that agree in all registers of a band are candidates.
-In each band's bucket every member is first compared with one member, the first in one of a few random orders that
-bands share, so copies make a few pairs each, however many there are; what these links join is one component. Only where a bucket then still holds
-several components are members of different components paired, in blocks spread over tasks, and only those whose
-registers agree often enough. Every pair is verified exactly by the Jaccard similarity of the sets of runs.
+Texts with equal sets are one class from the start. Classes that agree in all registers of a band share a bucket.
+
+* Each class is first compared with one other: of the buckets it is in, the member that shares buckets with the most
+  classes. The original of many copies is that member for nearly all of them, so copies make a pair each, however many.
+* What these links join is one component. Only in buckets that then still hold several components is more compared:
+  the members outside the bucket's largest component with all members of other components. They meet in blocks of a
+  bounded size, which give links between components and never pairs of texts, and a pair whose components a block has
+  joined already is passed over.
+
+Every link is verified exactly by the Jaccard similarity of the sets of runs.
 """
 
 from __future__ import annotations
@@ -20,29 +25,33 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quern.llm.components import components
-from quern.llm.shared import WordHashes, grams, materialise, mix
+from quern.llm.shared import WordHashes, distinct, grams, materialise, mix
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Share of registers below which a pair in a mixed bucket isn't verified. Registers agree independently, each with the
-#: pair's similarity as probability; by Chernoff's bound fewer than once in 100,000 a pair of ``SIMILARITY`` is below.
+#: pair's similarity as probability; by Chernoff's bound fewer than once in 100,000 a pair of ``SIMILARITY`` is below,
+#: a sixth of what the bands miss.
 AGREEMENT = 0.65
-BLOCK = 256
-#: Random orders by which buckets choose their leaders: copies that share all bands meet as many leaders at most.
-ORDERS = 4
+#: Members of a mixed bucket that meet in one block: those that ask and those that are held, and their runs in all.
+ASKING, HELD, BLOCK_RUNS = 256, 2048, 4_000_000
+#: Parts into which rows that are repeated whole are dealt before one of them is taken.
+SALTS = 64
+#: Arrivals that are made at a time: a text of ordinary length is done after few rounds.
+ARRIVALS = 2048
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def weighted_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct runs of five words, sorted, and their weights, which are all one as pairs are verified by their sets."""
-    runs = np.unique(grams(words, WORDS))
+    runs = distinct(grams(words, WORDS))
     return runs, np.ones(len(runs))
 
 
@@ -54,7 +63,7 @@ def signature(runs: np.ndarray, weights: np.ndarray, m: int = REGISTERS) -> np.n
     first, winner = np.full(m, np.inf), np.zeros(m, dtype=np.uint64)
     time, active, done = np.zeros(len(runs)), np.arange(len(runs)), 0
     while len(active):
-        some = max(1, 1024 // len(active))
+        some = max(1, ARRIVALS // len(active))
         steps = np.arange(done + 1, done + some + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
             draw = mix(runs[active][:, None] + steps * _STEP)
@@ -75,129 +84,158 @@ def signature(runs: np.ndarray, weights: np.ndarray, m: int = REGISTERS) -> np.n
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band, of its number and its registers."""
-    rows = registers.reshape(BANDS, ROWS)
-    key = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP)
+    """64-bit keys of the bands of each row of registers, of a band's number and registers."""
+    rows = registers.reshape(-1, BANDS, ROWS)
+    key = np.tile(mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP), (len(rows), 1))
     with np.errstate(over="ignore"):
         for k in range(ROWS):
-            key = mix(key * _STEP + rows[:, k])
+            key = mix(key * _STEP + rows[:, :, k])
     return key.view(np.int64)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, mark (64 bits of the text), content (128 bits of the set of runs; null without a word), band keys, and 16
-    bits of each register."""
-    kind = "struct<content:binary,bands:array<bigint>,registers:binary>"
+    """doc_id, mark (64 bits of the text), content (128 bits of the set of runs; null without a word), size (runs), band
+    keys, and 16 bits of each register."""
+    kind = "struct<content:binary,size:int,bands:array<bigint>,registers:binary>"
 
     @arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for batch in batches:
-            content, bands, registers = [], [], []
-            for text in batch.to_pylist():
-                words = hashes.of(text or "")
-                if not len(words):
-                    content.append(None)
-                    bands.append(None)
-                    registers.append(None)
-                    continue
-                runs, weights = weighted_runs(words)
-                winner = signature(runs, weights)
-                content.append(blake2b(runs.tobytes(), digest_size=16).digest())
-                bands.append(band_keys(winner))
-                registers.append(mix(winner).astype("<u2").tobytes())
-            yield pa.StructArray.from_arrays([pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())], names=["content", "bands", "registers"])
+            found = [weighted_runs(words) for words in hashes.many(batch.to_pylist())]
+            some = [k for k, (runs, _) in enumerate(found) if len(runs)]
+            winners = np.array([signature(*found[k]) for k in some], dtype=np.uint64).reshape(-1, REGISTERS)
+            low = mix(winners).astype("<u2")
+            at = np.full(len(found), -1)
+            at[some] = np.arange(len(some))
+            pick = pa.array(at, mask=at < 0)
+            columns = [
+                pa.array([blake2b(found[k][0].tobytes(), digest_size=16).digest() for k in some], pa.binary()),
+                pa.array([len(found[k][0]) for k in some], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(band_keys(winners).ravel())),
+                pa.array([row.tobytes() for row in low], pa.binary()),
+            ]
+            yield pa.StructArray.from_arrays([c.take(pick) for c in columns], names=["content", "size", "bands", "registers"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), run(F.col(text_col)).alias("s")).select("doc_id", "mark", "s.*")
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose texts (content, text) have a Jaccard similarity of ``SIMILARITY`` or more."""
+def runs_of(text: Column) -> Column:
+    """The sorted set of a text's runs, as the bytes of their hashes."""
 
-    @arrow_udf("double")
-    def jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    @arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
+        for batch in batches:
+            yield pa.array([weighted_runs(words)[0].tobytes() for words in hashes.many(batch.to_pylist())], pa.binary())
+
+    return run(text)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets of runs (content, runs) have a similarity of ``SIMILARITY`` or more."""
+
+    @arrow_udf("boolean")
+    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = []
-            last, kept = None, None
-            for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
-                if x != last:
-                    last, kept = x, np.unique(grams(hashes.of(x), WORDS))
-                other = np.unique(grams(hashes.of(y), WORDS))
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                out.append(both / (len(kept) + len(other) - both))
-            yield pa.array(out, pa.float64())
-
-    left = texts.select(F.col("content").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("content").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.where(jaccard("text_a", "text_b") >= SIMILARITY - 1e-12).select("a", "b")
-
-
-def _mixed_pairs(members: DataFrame) -> DataFrame:
-    """Pairs across components within the mixed buckets, each in the first band that both share.
-
-    ``members``: key, band, n (members of the bucket), content, component, registers. A bucket is cut into blocks of
-    about ``BLOCK`` members and each pair of blocks is a group of its own.
+            rows = ((np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True))
+            yield pa.array([jaccard(x, y) >= SIMILARITY - 1e-12 for x, y in rows], pa.bool_())
+
+    left = texts.select(F.col("content").alias("a"), F.col("runs").alias("runs_a"))
+    right = texts.select(F.col("content").alias("b"), F.col("runs").alias("runs_b"))
+    return pairs.join(left, "a").join(right, "b").where(close("runs_a", "runs_b")).select("a", "b")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Links (a, b) between components within the mixed buckets.
+
+    ``members``: key, band, content, component, minor (outside the bucket's largest component), askers and holders (blocks
+    and chunks of the bucket), registers, runs. Each minor member asks all members of other components; a pair that
+    shares several bands is compared in the first of them.
     """
-    blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
-    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other", "n")
+    hashed = F.xxhash64("content")
+    asking = members.where("minor").withColumn("asks", F.lit(True)).withColumn("i", F.pmod(hashed, F.col("askers")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("holders") - 1)))
+    held = members.withColumn("asks", F.lit(False)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).withColumn("j", F.pmod(hashed, F.col("holders")).cast("int"))
+    columns = ["key", "i", "j", "band", "asks", "minor", "content", "component", "registers", "runs"]
 
     def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        band, own = table["band"][0].as_py(), table["own"].to_numpy()
+        band, asks, minor = table["band"][0].as_py(), table["asks"].to_pylist(), np.array(table["minor"].to_pylist())
         content, component = table["content"].to_pylist(), table["component"].to_pylist()
-        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype="<u2").reshape(len(own), REGISTERS)
-        number = {c: k for k, c in enumerate(dict.fromkeys(component))}
-        label = np.array([number[c] for c in component])
-        low, high = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        registers = np.frombuffer(b"".join(table["registers"].to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+        runs = [np.frombuffer(x, dtype="<u8") for x in table["runs"].to_pylist()]
+        names = list(dict.fromkeys(component))
+        number = {c: k for k, c in enumerate(names)}
+        own = np.array([number[c] for c in component])
+        label = np.arange(len(names))  # of each component, what the links found here join it to
+        hold = np.array([k for k, x in enumerate(asks) if not x])
         a, b = [], []
-        for p in low:
-            rest = high[high > p] if i == j else high
-            rest = rest[label[rest] != label[p]]
+        for p in (k for k, x in enumerate(asks) if x):
+            rest = hold[label[own[hold]] != label[own[p]]]
             if not len(rest):
                 continue
             equal = registers[rest] == registers[p]
-            good = rest[(equal.mean(axis=1) >= AGREEMENT) & (equal.reshape(len(rest), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
-            a += [content[p]] * len(good)
-            b += [content[q] for q in good]
+            agree = equal.mean(axis=1)
+            good = np.flatnonzero((agree >= AGREEMENT) & (equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band))
+            for q in rest[good[np.argsort(-agree[good], kind="stable")]].tolist():
+                if label[own[p]] == label[own[q]] or minor[q] and content[q] < content[p]:
+                    continue  # joined already, or compared where the other asks
+                if jaccard(runs[p], runs[q]) >= SIMILARITY - 1e-12:
+                    a.append(component[p])
+                    b.append(component[q])
+                    label[label == label[own[q]]] = label[own[p]]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    pairs = spread.groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return asking.select(columns).union(held.select(columns)).groupBy("key", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def _linked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The sketches of ``docs``, and (node, component) of the contents that have a link."""
+    """The sketches of ``docs``, and (content, doc_id, mark, component) of each distinct content with a word: its first
+    row, and the component that links join it to."""
     sketch = materialise(sketches(docs, id_col, text_col), "sketches")
-    classes = materialise(sketch.where("content is not null").groupBy("content").agg(F.min_by(F.struct("doc_id", "mark", "bands", "registers"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("s")).select("content", "s.*"), "classes")
-    rows = classes.select("content", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("content", F.xxhash64(F.pmod("band", F.lit(ORDERS)), "content")).alias("leader")).where("n > 1")
-    crowded = materialise(rows.join(buckets, "key"), "buckets")
-    star = materialise(crowded.where("content <> leader").select(F.least("content", "leader").alias("a"), F.greatest("content", "leader").alias("b")).distinct(), "star")
-
-    # Texts of the classes that any bucket holds with others, by id and mark together, as an id may be given twice.
-    wanted = classes.join(crowded.select("content").distinct(), "content", "left_semi").select("content", F.col("doc_id").alias("wanted_id"), F.col("mark").alias("wanted_mark"))
+    first = F.min_by(F.struct("doc_id", "mark", "size", "bands", "registers"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+    classes = materialise(sketch.where("content is not null").groupBy("content").agg(first.alias("s")).select("content", "s.*"), "classes")
+    rows = classes.select("content", "size", F.posexplode("bands").alias("band", "key"))
+    # Counts and choices for each bucket are tables, so that a join with a bucket of very many members can be split.
+    buckets = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    crowded = materialise(rows.join(buckets, "key"), "crowded")
+    fame = materialise(crowded.groupBy("content").agg(F.sum("n").alias("fame")), "fame")
+    order = F.struct("fame", F.xxhash64("content"), "content")
+    leaders = materialise(crowded.select("key", "content").join(fame, "content").groupBy("key").agg(F.max(order).alias("leader")), "leaders")
+    star = crowded.select("key", "content").join(leaders, "key").groupBy("content").agg(F.max("leader").alias("leader")).select(F.col("content").alias("a"), F.col("leader.content").alias("b")).where("a <> b")
+
+    # Sets of runs of the classes that share a bucket, by id and mark together, as an id may be given twice.
+    wanted = classes.join(fame.select("content"), "content", "left_semi").select("content", F.col("doc_id").alias("wanted_id"), F.col("mark").alias("wanted_mark"))
     named = docs.select(F.col(id_col).alias("named_id"), F.xxhash64(text_col).alias("named_mark"), F.col(text_col).alias("text"))
-    texts = named.join(wanted, F.col("named_id").eqNullSafe(F.col("wanted_id")) & (F.col("named_mark") == F.col("wanted_mark"))).select("content", "text")
-    texts = materialise(texts.dropDuplicates(["content"]), "texts")
+    texts = named.join(wanted, F.col("named_id").eqNullSafe(F.col("wanted_id")) & (F.col("named_mark") == F.col("wanted_mark"))).select("content", runs_of(F.col("text")).alias("runs"))
+    texts = materialise(texts.dropDuplicates(["content"]), "runs")
 
-    links = materialise(similar(star, texts), "star-links")
-    part = components(links)
-    named_members = crowded.join(part.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    mixed = named_members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    members = named_members.join(mixed, "key").select("key", "band", "n", "content", "component").join(classes.select("content", "registers"), "content")
-    more = similar(materialise(_mixed_pairs(members).join(star, ["a", "b"], "left_anti"), "mixed-pairs"), texts)
-    found = components(links.union(more))
+    part = materialise(components(similar(star, texts)), "stars")
+    members = crowded.join(part.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("runs")).groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("n", "component")).alias("major"), F.sum("n").alias("all"), F.sum("runs").alias("runs"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n, most: F.ceil(F.greatest(n / most, F.col("runs") * n / F.col("all") / BLOCK_RUNS)).cast("int")
+    mixed = materialise(sizes.select("key", F.col("major.component").alias("major"), blocks(F.col("all") - F.col("major.n"), ASKING).alias("askers"), blocks(F.col("all"), HELD).alias("holders")), "mixed")
+    members = members.select("key", "band", "content", "component").join(mixed, "key").withColumn("minor", F.col("component") != F.col("major")).drop("major")
+    more = _across(members.join(classes.select("content", "registers"), "content").join(texts, "content"))
+    joined = materialise(components(more), "across")
 
-    return sketch, found
+    found = classes.select("content", "doc_id", "mark").join(part.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
+    found = found.join(joined.select(F.col("node").alias("component"), F.col("component").alias("wider")), "component", "left")
+    return sketch, materialise(found.select("content", "doc_id", "mark", F.coalesce("wider", "component").alias("component")), "found")
 
 
-def _classes(named: DataFrame, found: DataFrame) -> DataFrame:
-    """``named`` (doc_id, mark, content) with component (null without a word) and class_id."""
-    named = named.join(found.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content"))
-    smallest = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return named.join(smallest, "component", "left").select("doc_id", "mark", "component", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+def _first_of_each(found: DataFrame) -> DataFrame:
+    """component, and its first row: doc_id (the smallest; null only where no row has one) and mark."""
+    first = F.min_by(F.struct("doc_id", "mark"), F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))
+    return found.groupBy("component").agg(first.alias("first")).select("component", "first.*")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +247,10 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Columns other than the two are not read. An empty table gives an empty result.
     """
     sketch, found = _linked(docs, id_col, text_col)
-    return _classes(sketch.select("doc_id", "mark", "content"), found).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    smallest = materialise(_first_of_each(found).select("component", F.col("doc_id").alias("class_id")), "smallest")
+    named = materialise(found.select("content", "component").join(smallest, "component").select("content", "class_id"), "named")
+    out = sketch.select("doc_id", "content").join(named, "content", "left")
+    return out.select("doc_id", F.when(F.col("content").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def _key(doc_id, mark):
@@ -219,14 +260,21 @@ def _key(doc_id, mark):
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all their columns, but of each class of near-duplicates only one row, that of the smallest id.
 
-    Texts that are linked with nothing stay, those without a word included. Where several rows of a class have the
-    smallest id (an id given twice), one of them stays. Copies that go never meet in one task: a row is looked up
-    by its id and the mark of its text together.
+    Texts that are linked with nothing stay, those without a word included, however often they are repeated. Where a
+    row is given several times one of it stays. Rows are looked up by their id and the mark of their text together; a
+    row that is repeated very often is dealt to many tasks, each of which passes on one of it.
     """
     sketch, found = _linked(docs, id_col, text_col)
-    classes = _classes(sketch.select("doc_id", "mark", "content"), found).withColumn("__key", _key(F.col("doc_id"), F.col("mark")))
-    kept = classes.where(F.col("component").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("component").agg(F.min("__key").alias("__key")).select("__key", F.lit(False).alias("__wordless"))
-    wordless = classes.where("component is null").select("__key", F.lit(True).alias("__wordless")).distinct()
-    rows = docs.select(F.struct("*").alias("__row"), _key(F.col(id_col), F.xxhash64(text_col)).alias("__key")).join(kept.union(wordless), "__key")
-    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return rows.withColumn("__nth", nth).where("__wordless or __nth = 1").select("__row.*")
+    kept = _first_of_each(found).select(_key(F.col("doc_id"), F.col("mark")).alias("__key"))
+    counts = sketch.where("content is not null").groupBy(_key(F.col("doc_id"), F.col("mark")).alias("__key")).agg(F.count("*").alias("n"))
+    kept = materialise(kept.join(counts, "__key"), "kept")
+    wordless = sketch.where("content is null").select(_key(F.col("doc_id"), F.col("mark")).alias("__key")).distinct()
+    stay = materialise(kept.where("n = 1").select("__key").union(wordless), "stay")
+    rows = docs.select(F.struct("*").alias("__row"), _key(F.col(id_col), F.xxhash64(text_col)).alias("__key"))
+    out = rows.join(stay, "__key", "left_semi").select("__row")
+    repeated = kept.where("n > 1").select("__key")
+    if not repeated.isEmpty():
+        spread = repeated.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(spread, ["__key", "__salt"])
+        out = out.union(dealt.groupBy("__key").agg(F.first("__row").alias("__row")).select("__row"))
+    return out.select("__row.*")

@@ -5,22 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from hashlib import blake2b
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests in one JVM) a fresh temporary folder is made and kept for the session.
+    Only where it is unset on a local master (tests in one JVM) a fresh temporary folder is made and kept for the
+    session. On a cluster no executor would see it, so there an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quern.shared.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("quern.shared.dir", folder)
     return folder.rstrip("/")
@@ -43,36 +45,93 @@ def fold(doc_id, modulus: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-class WordHashes(dict):
-    """From a lower-case token without white space to the 64-bit hash of its word, or a tuple of hashes.
+#: Characters that are hashed at a time; a longer text is cut before a sign that belongs to no word.
+HASH_BLOCK = 1 << 20
+_STEP, _BACK = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
+
+
+@cache
+def _signs() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point whether it belongs to words (``\\w``), and a random 64-bit value."""
+    inside = np.array([(c := chr(k)).isalnum() or c == "_" for k in range(0x110000)])
+    return inside, mix(np.arange(1, 0x110001, dtype=np.uint64) * _M1)
 
-    A token such as ``end.`` holds one word, ``a-b`` two and ``--`` none. The table is emptied when it
-    has ``limit`` tokens, which bounds a worker's memory whatever the vocabulary.
-    """
 
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, 2**bits of each."""
+    out = []
+    for step in (_STEP, _BACK):
+        powers = np.full(1 << bits, step, dtype=np.uint64)
+        powers[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.cumprod(powers))
+    return out[0], out[1]
 
-    def __missing__(self, token: str):
-        if len(self) >= self.limit:
-            self.clear()
-        found = [int.from_bytes(blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little") for w in WORD.findall(token)]
-        value = found[0] if len(found) == 1 else tuple(found)
-        if len(token) <= 64:
-            self[token] = value
-        return value
+
+class WordHashes:
+    """64-bit hashes of the words (``\\w+``, lower case) of texts, in order.
+
+    A word's hash is a polynomial of its signs, taken as a difference of running sums over all signs of many texts.
+    """
 
     def of(self, text: str) -> np.ndarray:
-        """Hashes of the words of a text, in order."""
-        values = list(map(self.__getitem__, text.lower().split()))
-        try:
-            return np.array(values, dtype=np.uint64)
-        except (TypeError, ValueError):
-            flat: list[int] = []
-            for v in values:
-                flat.extend(v) if isinstance(v, tuple) else flat.append(v)
-            return np.array(flat, dtype=np.uint64)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The hashes for each text; a null text has none."""
+        out: list[np.ndarray] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            low = (text or "").lower()
+            if some and size + len(low) > HASH_BLOCK:
+                out += self._block(some)
+                some, size = [], 0
+            if len(low) > HASH_BLOCK:
+                out.append(np.concatenate([h for part in _parts(low) for h in self._block([part])]))
+            else:
+                some.append(low)
+                size += len(low) + 1
+        return out + self._block(some) if some else out
+
+    @staticmethod
+    def _block(texts: list[str]) -> list[np.ndarray]:
+        inside, values = _signs()
+        codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        word = np.concatenate([[False], inside[codes], [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edges[::2], edges[1::2]
+        up, down = _powers(max(HASH_BLOCK.bit_length(), len(codes).bit_length()))
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values[codes] * up[: len(codes)])])
+            hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(hashes, np.searchsorted(start, ends[:-1]))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that no word crosses; a word longer than a part stays whole."""
+    inside, at = _signs()[0], 0
+    while at < len(text):
+        end = min(len(text), at + HASH_BLOCK)
+        while end < len(text) and inside[ord(text[end])]:
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def gathered(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Rows ``which`` of a ragged table, one after the other; ``values`` holds its rows of ``lengths`` in order."""
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[which]
+    return values[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -92,7 +151,7 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
         return words
     n = min(n, len(words))
     with np.errstate(over="ignore"):
-        out = np.zeros(len(words) - n + 1, dtype=np.uint64)
-        for k in range(n):
-            out = mix(out * _M1 + words[k : len(words) - n + 1 + k])
-    return out
+        out = words[: len(words) - n + 1] + np.uint64(n)
+        for k in range(1, n):
+            out = out * _M1 + words[k : len(words) - n + 1 + k]
+        return mix(out)
