@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.segments import SegmentTable, in_slices
+from quern.llm.segments import SegmentTable, in_slices, rows_of, text_slices
 
 _NONE = np.int64(1) << 60
 _LONG = 128  # bytes from which a piece gets a tree of its own
@@ -196,7 +196,7 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> tuple[ByteBpe, SegmentTable]:
     codec = ByteBpe.load(path, pattern)
-    return codec, SegmentTable(codec.ids)
+    return codec, SegmentTable(lambda segments: rows_of(codec.ids(segments)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -207,8 +207,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
         _, table = _codec(path, pattern)
         for batch in batches:
             out = []
-            for texts in in_slices([t or "" for t in batch.to_pylist()]):
-                out += [[i for part in parts for i in part] for parts in table.values_of(texts)]
+            for texts in text_slices(batch):
+                out += [ids.tolist() for ids in table.of(texts).texts()]
             yield pa.array(out, pa.list_(pa.int32()))
 
     return docs.withColumn(into, run(F.col(text_col)))
@@ -244,9 +244,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         digit = codec.digits.__getitem__
         for batch in batches:
             n, sha, back, all_ids = [], [], [], []
-            for texts in in_slices([t or "" for t in batch.to_pylist()]):
-                for parts in table.values_of(texts):
-                    ids = [i for part in parts for i in part]
+            for texts in text_slices(batch):
+                for found in table.of(texts).texts():
+                    ids = found.tolist()
                     n.append(len(ids))
                     sha.append(hashlib.sha256(",".join(map(digit, ids)).encode()).hexdigest())
                     back.append(hashlib.sha256(codec.text(ids)).hexdigest())

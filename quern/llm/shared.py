@@ -58,7 +58,7 @@ def _signs() -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, 2**bits of each."""
     out = []
     for step in (_STEP, _BACK):
@@ -102,7 +102,7 @@ class WordHashes:
         word = np.concatenate([[False], inside[codes], [False]])
         edges = np.flatnonzero(word[1:] != word[:-1])
         start, end = edges[::2], edges[1::2]
-        up, down = _powers(max(HASH_BLOCK.bit_length(), len(codes).bit_length()))
+        up, down = powers(max(HASH_BLOCK.bit_length(), len(codes).bit_length()))
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values[codes] * up[: len(codes)])])
             hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
@@ -121,11 +121,9 @@ def _parts(text: str) -> Iterator[str]:
         at = end
 
 
-def gathered(values: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Rows ``which`` of a ragged table, one after the other; ``values`` holds its rows of ``lengths`` in order."""
-    starts = np.cumsum(lengths) - lengths
-    n = lengths[which]
-    return values[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts`` and have ``lengths``, one after the other."""
+    return values[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
 
 
 def distinct(values: np.ndarray) -> np.ndarray:

@@ -11,7 +11,8 @@ documents in ascending order of key, with
   that the shard doesn't hold fails its fingerprint but for one time in 2**32;
 * ``part``, ``shard``, ``part_base``: the range partition, the shard's number in it and the ids before it in it.
 
-Documents are range-partitioned by (key, hash of text), so that a key with a third of all rows is spread too.
+Documents are range-partitioned by (key, hash of text, number of the row), so that a key or a whole row that a third
+of all rows repeat is spread too.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.segments import SegmentTable, in_slices
+from quern.llm.segments import Rows, SegmentTable, in_slices, rows_of, text_slices
 from quern.llm.shared import mix, shared_path
 
 SHARD_SCHEMA = "part int, shard int, part_base bigint, n_ids bigint, min_key bigint, max_key bigint, keys array<bigint>, ends array<bigint>, seeds binary, prints binary, slots binary, payload binary"
 _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_base", pa.int64()), ("n_ids", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("seeds", pa.binary()), ("prints", pa.binary()), ("slots", pa.binary()), ("payload", pa.binary())])
+#: Fixed value: how byte-level vocabularies write the space.
+SPACE = "\u0120"
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,10 +97,24 @@ def _table(path: str) -> SegmentTable:
 
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(segments: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+    spaced = np.array([(tokenizer.id_to_token(k) or "").startswith(SPACE) for k in range(tokenizer.get_vocab_size())])
 
-    return SegmentTable(encode, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
+    def encode(segments: list[str]) -> Rows:
+        return rows_of([e.ids for e in tokenizer.encode_batch_fast(segments, add_special_tokens=False)])
+
+    def encode_spaced(segments: list[str]) -> Rows:
+        parts, lengths = [], []
+        for some in in_slices(segments, 4096):
+            # One text of many segments: only their own first tokens begin with a space.
+            ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            starts = np.flatnonzero(spaced[ids])
+            if len(starts) != len(some):
+                raise ValueError("the tokenizer doesn't begin a token at each space")
+            parts.append(ids)
+            lengths.append(np.diff(starts, append=len(ids)))
+        return np.concatenate(parts), np.concatenate(lengths)
+
+    return SegmentTable(encode, encode_spaced, whole=tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()))
 
 
 def _shard(part: int, number: int, base: int, keys: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -118,7 +135,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
 
     A null text is empty. Rows are in ascending order of key, null keys first, equal keys by a hash of their
     text; rows with an equal key are found together, those with a null key are stored but not in the index.
-    A shard holds at most ``shard_docs`` documents and, unless one document is longer, ``shard_ids`` ids.
+    A very long text is cut into segments whole, so it must fit in a task's memory; it makes a shard of its own.
+    A text that holds an added token of the tokenizer, such as ``<|endoftext|>``, has it encoded as that token, which
+    is what the library does without special tokens being added. A shard holds at most ``shard_docs`` documents and, unless one document is longer, ``shard_ids`` ids.
     Encoding follows the shuffle, so what moves is the text once; the sort spills.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -127,9 +146,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
         table, part = _table(tokenizer), TaskContext.get().partitionId()
         keys, ids, size, base, number = [], [], 0, 0, 0
         for batch in batches:
-            for some_keys, texts in zip(in_slices(batch.column(0).to_pylist()), in_slices([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                for key, parts in zip(some_keys, table.values_of(texts), strict=True):
-                    data = b"".join(parts) + end
+            at = iter(batch.column(0).to_pylist())
+            for texts in text_slices(batch.column(1)):
+                for found in table.of(texts).texts():
+                    data, key = found.astype("<u4").tobytes() + end, next(at)
                     if keys and (len(keys) >= shard_docs or size + len(data) // 4 > shard_ids):
                         yield _shard(part, number, base, keys, ids)
                         base, number, keys, ids, size = base + size, number + 1, [], [], 0
@@ -139,9 +159,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
         if keys:
             yield _shard(part, number, base, keys, ids)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text")).withColumn("salt", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text")).withColumn("salt", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(parts, "key", "salt").sortWithinPartitions("key", "salt").select("key", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    rows.repartitionByRange(parts, "key", "salt", "row").sortWithinPartitions("key", "salt").select("key", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

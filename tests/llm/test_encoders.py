@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quern.llm import byte_bpe, token_store
+from quern.llm import byte_bpe, segments, token_store
 from quern.llm.queries import PATTERN, op5_token_store, op9_byte_bpe, tokenizer_file
 from quern.llm.shared import shared_path
 
@@ -38,10 +38,21 @@ def test_byte_bpe_odd_texts(odd, library):
     assert byte_bpe.round_trip(odd.limit(0), RANKS, PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("text", ["  two  spaces ", "a\n b \n\n", "x" * 700, "aab" * 300, "don't 'll 12 3", " x　y\tz", "ab" * 65, "\r\n"])
+def test_segment_tables_roll_over(library, monkeypatch):
+    monkeypatch.setattr(segments, "RECENT", 5)
+    codec, _ = byte_bpe._codec(RANKS, PATTERN)
+    table = segments.SegmentTable(lambda some: segments.rows_of(codec.ids(some)), limit=40)
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["alpha", "beta.", "beta", "gamma,", "w%d" % rng.integers(200), "\n", "", "naïve!"], 12)) for _ in range(5)]
+        assert [t.tolist() for t in table.of(texts).texts()] == [library.encode_ordinary(t) for t in texts]
+    assert len(table.newer.key) <= 60 and len(table.older.key) <= 60
+
+
+@pytest.mark.parametrize("text", ["  two  spaces ", "a\n b \n\n", "x" * 700, "aab" * 300, "don't 'll 12 3", " x　y\tz", "ab" * 65, "\r\n", "Word. word, word.word wörd! ɐx. 12. a\x85b \u2003x", "one", ""])
 def test_byte_bpe_segments(text, library):
     codec, table = byte_bpe._codec(RANKS, PATTERN)
-    ids = [i for part in table.values_of([text])[0] for i in part]
+    ids = next(table.of([text]).texts()).tolist()
     assert ids == library.encode_ordinary(text) and codec.text(ids) == text.encode()
 
 
@@ -54,7 +65,6 @@ def store_rows(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -89,6 +99,16 @@ def test_token_store_added_token_in_a_text(docs_of):
     assert sorted(map(tuple, token_store.store_round_trip(docs_of(list(enumerate(texts))), JSON).collect())) == want
 
 
+def test_token_store_spreads_equal_rows(spark, docs_of):
+    docs = spark.range(0, 20_000, numPartitions=4).selectExpr("7L AS doc_id", "'the same text in every row' AS text")
+    path = shared_path(spark, "test-equal")
+    token_store.write_store(docs, path, JSON)
+    sizes = [r.n for r in token_store.read_store(spark, path).groupBy("part").agg({"n_ids": "sum"}).withColumnRenamed("sum(n_ids)", "n").collect()]
+    assert len(sizes) > 2 and max(sizes) < 0.5 * sum(sizes)
+    got = token_store.documents_of(token_store.read_store(spark, path))
+    assert got.count() == got.select("start").distinct().count() == 20_000 and got.select("ids_crc32").distinct().count() == 1
+
+
 def test_keyed_access(spark, docs_of):
     docs = docs_of([(k, f"text number {k}") for k in range(300)] + [(7, "another seven"), (None, "x")])
     path = shared_path(spark, "test-store")
