@@ -3,8 +3,9 @@
 The index holds the test items. Its terms are runs of two words, its weights BM25 divided by what the item scores
 against itself, so that a score says which part of an item a passage has. Postings are in order of item, in blocks
 that keep their largest weight. Every passage of every document (overlapping windows of words) is a query: block-max
-WAND returns all items above the threshold, and each is then verified: enough of the words of the item's question
-and of its answer must stand in the document in runs.
+WAND returns all items above the threshold, and each is then verified by itself: enough runs of the question's words
+must stand in the document, and near them enough runs of the answer's own words, however short the answer is. A long
+item is found by its parts and verified as a whole. An item of one word has that word as its term.
 
 A passage whose weights cannot add up to the threshold, whatever items they belong to, is passed over by the first
 WAND bound, taken for all windows of a document at once.
@@ -13,8 +14,10 @@ WAND bound, taken for all windows of a document at once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.shared import WordHashes, grams
+from quern.llm.shared import WordHashes, distinct, grams
 
 # Production parameters.
 WINDOW, STRIDE = 128, 64  # words of a passage, and between the starts of two; an item part has at most STRIDE words
 THRESHOLD = 0.4  # of an item's own score
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.4, 0.4
-RUN = 5  # words in a run of the verification
+RUN = 5  # words in a run of the verification at most
+NEAR = 64  # words, beside an item's own length, between a run of its question and one of its answer
 BLOCK = 16  # postings in a block
 K1, B = 1.2, 0.75
 #: Items whose words go to every task at once; more items are taken in as many slices, each a pass over the documents.
@@ -38,43 +42,65 @@ _FILTER_BITS = 20
 
 @dataclass
 class Entry:
-    """An item, or a part of a long one, with what verification needs."""
+    """An item, or a part of a long one, by which it is found."""
 
     item: int
     words: np.ndarray
-    question: np.ndarray
-    answer: np.ndarray
+    whole: Item
 
 
-def split_item(words: np.ndarray, answer_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of the question and of the answer; a side of fewer than ``RUN`` words takes runs with its neighbour's words."""
-    cut = min(max(answer_from, 0), len(words))
-    if cut < RUN or len(words) - cut < RUN:
-        return grams(words, RUN), grams(words, RUN)
-    return grams(words[:cut], RUN), grams(words[cut:], RUN)
+@dataclass
+class Item:
+    """The runs of the words of an item's question and of its answer, of at most ``RUN`` words each."""
+
+    question: np.ndarray
+    question_run: int
+    answer: np.ndarray
+    answer_run: int
+    near: int  # words between a run of the question and one of the answer at most
+
+    @classmethod
+    def of(cls, words: np.ndarray, answer_from: int) -> Item:
+        question, answer = words[:answer_from], words[answer_from:]
+        if not len(question):
+            question = answer
+        runs = min(RUN, len(question)), min(RUN, len(answer))
+        return cls(distinct(grams(question, RUN)), runs[0], distinct(grams(answer, RUN)), runs[1], len(words) + NEAR)
+
+    def overlaps(self, runs: Callable[[int], np.ndarray]) -> tuple[float, float]:
+        """Shares of the question's runs that a document has, and of the answer's that it has near one of those.
+
+        ``runs`` gives the document's runs of a number of words, in order.
+        """
+        doc = runs(self.question_run)
+        at = np.flatnonzero(np.isin(doc, self.question))
+        if not len(at):
+            return 0.0, 0.0
+        mine = runs(self.answer_run)
+        places = np.flatnonzero(np.isin(mine, self.answer))
+        k = np.searchsorted(at, places)
+        apart = np.minimum(np.abs(places - at[np.maximum(k - 1, 0)]), np.abs(places - at[np.minimum(k, len(at) - 1)]))
+        return len(np.unique(doc[at])) / len(self.question), len(np.unique(mine[places[apart <= self.near]])) / len(self.answer)
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def entries_of(items: list[tuple[int, str | None]], hashes: WordHashes) -> list[Entry]:
-    """Index entries: the last sentence is an item's answer, what precedes it the question. A wordless item has none.
+    """Index entries: the last sentence with a word is an item's answer, what precedes it the question; of a single
+    sentence the last third is the answer. A wordless item has none.
 
     An item of more than ``STRIDE`` words is cut into parts of about equal size, each an entry of its own.
     """
     out = []
     for item, text in items:
-        sentences = [s for s in _SENTENCE.split(text or "") if s.strip()]
-        parts = [hashes.of(s) for s in sentences]
-        words = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-        if not len(words):
+        parts = [h for s in _SENTENCE.split(text or "") if len(h := hashes.of(s))]
+        if not parts:
             continue
-        answer_from = len(words) - len(parts[-1]) if len(parts) > 1 else len(words) * 2 // 3
-        n = -(-len(words) // STRIDE)
-        bounds = np.linspace(0, len(words), n + 1).astype(int)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            question, answer = split_item(words[a:b], answer_from - a if n == 1 else (b - a) * 2 // 3)
-            out.append(Entry(item, words[a:b], question, answer))
+        words = np.concatenate(parts)
+        whole = Item.of(words, len(words) - len(parts[-1]) if len(parts) > 1 else len(words) * 2 // 3)
+        bounds = np.linspace(0, len(words), -(-len(words) // STRIDE) + 1).astype(int)
+        out += [Entry(item, words[a:b], whole) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return out
 
 
@@ -117,6 +143,7 @@ class BlockMaxIndex:
         starts = [np.arange(0, len(w), BLOCK) for w in self.weights]
         self.block_max = [np.maximum.reduceat(w, s) for w, s in zip(self.weights, starts, strict=True)]
         self.block_last = [d[np.minimum(s + BLOCK, len(d)) - 1] for d, s in zip(self.docs, starts, strict=True)]
+        self.single = any(len(e.words) == 1 for e in entries)
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[(self.terms & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
 
@@ -173,37 +200,45 @@ class BlockMaxIndex:
 
     def passages(self, words: np.ndarray) -> Iterator[list[int]]:
         """Distinct known terms of each passage whose weights could reach the threshold."""
-        pairs = grams(words, 2)
-        at, terms = self.hits(pairs)
+        at, terms = self.hits(grams(words, 2)) if len(words) > 1 else (np.zeros(0, dtype=np.int64),) * 2
+        if self.single:
+            alone, own = self.hits(grams(words, 1))
+            at, terms = np.concatenate([at, alone]), np.concatenate([terms, own])
+            order = np.argsort(at, kind="stable")
+            at, terms = at[order], terms[order]
         if not len(at) or self.upper[terms].sum() < THRESHOLD - 1e-9:
             return
         reach = np.concatenate([[0.0], np.cumsum(self.upper[terms])])
         starts = np.arange(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + WINDOW - 1)
+        low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + WINDOW - (0 if self.single else 1))
         for i in np.flatnonzero(reach[high] - reach[low] >= THRESHOLD - 1e-9):
             yield np.unique(terms[low[i] : high[i]]).tolist()
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, float, float]]:
-        """(item, best score, question overlap, answer overlap) of the verified items of a document's words."""
-        best: dict[int, float] = {}
+        """(item, best score, question overlap, answer overlap) of the verified items of a document's words.
+
+        The score is that of the item's best part in the best passage. Of items that are given twice under one id with
+        different texts the one of the best score is told.
+        """
+        best: dict[int, tuple[float, Entry]] = {}
         for terms in self.passages(words):
             for k, score in self.search(terms, THRESHOLD):
-                best[k] = max(best.get(k, 0.0), score)
-        if not best:
-            return []
+                whole = self.entries[k].whole
+                if score > best.get(id(whole), (0.0,))[0]:
+                    best[id(whole)] = (score, self.entries[k])
         runs: dict[int, np.ndarray] = {}
+
+        def of(n: int) -> np.ndarray:
+            if n not in runs:
+                runs[n] = grams(words, n)
+            return runs[n]
+
         out: dict[int, tuple[int, float, float, float]] = {}
-        for k, score in sorted(best.items()):
-            e = self.entries[k]
-            share = []
-            for side in (e.question, e.answer):
-                n = min(RUN, len(e.words))
-                if n not in runs:
-                    runs[n] = np.unique(grams(words, n))
-                share.append(float(np.isin(side, runs[n]).mean()))
-            if share[0] >= QUESTION_OVERLAP and share[1] >= ANSWER_OVERLAP and score > out.get(e.item, (0, 0.0))[1]:
-                out[e.item] = (e.item, score, share[0], share[1])
-        return list(out.values())
+        for score, entry in best.values():
+            question, answer = entry.whole.overlaps(of)
+            if question >= QUESTION_OVERLAP and answer >= ANSWER_OVERLAP and (score, question, answer) > out.get(entry.item, (0, 0.0))[1:]:
+                out[entry.item] = (entry.item, score, question, answer)
+        return sorted(out.values())
 
 
 def _slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -223,16 +258,34 @@ def _slices(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 _LEAKS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
 
+@lru_cache(maxsize=4)
+def _built(name: str, shipped: Shipped) -> BlockMaxIndex:
+    return BlockMaxIndex(entries_of(shipped.items.value, WordHashes()), shipped.counts.value)
+
+
+class Shipped:
+    """A broadcast slice of items and the counts of all, equal to any other: a worker keeps indexes by their name."""
+
+    def __init__(self, items, counts):
+        self.items, self.counts = items, counts
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Shipped)
+
+    def __hash__(self) -> int:
+        return 0
+
+
 def _finder(items, counts):
-    """The function from texts to the leaks of a broadcast slice of items."""
+    """The function from texts to the leaks of a broadcast slice of items; a worker builds the index once."""
+    name, shipped = uuid.uuid4().hex, Shipped(items, counts)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
 
     @arrow_udf(_LEAKS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hashes = WordHashes()
-        index = BlockMaxIndex(entries_of(items.value, hashes), counts.value)
+        hashes, index = WordHashes(), _built(name, shipped)
         for batch in batches:
-            found = [index.leaks(hashes.of(t)) if t else [] for t in batch.to_pylist()]
+            found = [index.leaks(words) if len(words) else [] for words in hashes.many(batch.to_pylist())]
             yield pa.array([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in xs] for xs in found], kind)
 
     return run
@@ -241,8 +294,8 @@ def _finder(items, counts):
 def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
     """``docs`` with an array of the verified items that each whole text holds: item_id, score and both overlaps.
 
-    An item of one word makes no pair and is found only in a text of that one word. A null or empty text, and an empty
-    table of items, give an empty array. Items with a null id or text are left out; items with equal texts are each
+    Columns of ``docs`` with the names that are made here (``into``, ``__leaks_0`` …) are overwritten. A null or empty
+    text, and an empty table of items, give an empty array. Items with a null id or text are left out; items with equal texts are each
     reported. Documents are not shuffled and no other column is read. The
     items, in slices of at most ``SLICE_ITEMS`` rows and ``SLICE_CHARS`` characters, go to every task.
     """
@@ -266,7 +319,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each document and verified item: doc_id, item_id, score, question_overlap, answer_overlap.
 
-    Repeated documents give their rows each; clean ones give none.
+    Repeated documents give their rows each, a null doc_id too; clean ones give none. Whole texts are searched, however
+    long, in windows. Items whose scores tie are all given; other columns are not read.
     """
     found = with_leaks(docs.select(F.col(id_col).alias("doc_id"), F.col("text")), items)
     return found.where(F.size("leaks") > 0).select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")

@@ -179,12 +179,36 @@ def test_decontamination(spark, docs_of):
     rows = [(1, one), (2, f"{filler(900, 1)} {one.upper()} {filler(70, 2)}"), (3, filler(500, 3)), (4, f"{one} {filler(300, 4)} {two}"), (5, question), (6, None), (7, ""), (8, " ".join(random.Random(9).sample(one.split(), len(one.split())))), (9, "word"), (9, two), (10, "the air is open and plants make sugar in daylight")]
     got = decontaminate.contamination(docs_of(rows), items(spark)).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (4, 1), (4, 2), (9, 2), (9, 4)]
+    plain = spark.createDataFrame([(1, one, "kept", "own")], "doc_id bigint, text string, items string, __leaks_0 string")
+    assert decontaminate.contamination(plain, items(spark)).count() == 1
     assert all(0.4 <= r.score <= 1.000001 for r in got)
     assert decontaminate.contamination(docs_of(rows), items(spark).limit(0)).count() == 0 == decontaminate.contamination(docs_of([]), items(spark)).count()
     flagged = decontaminate.with_leaks(docs_of(rows).drop("leaks"), items(spark))
     assert flagged.count() == len(rows) and flagged.columns[-1] == "leaks"
 
 
+def test_answers_are_verified_by_their_own_words(spark, docs_of):
+    filler = lambda n, seed: " ".join(random.Random(seed).choices([f"f{k}" for k in range(900)], k=n))
+    short = "What is the name of the capital of the country that lies west of the Rhine today? Paris."
+    long = " ".join(f"q{k}" for k in range(300)) + "? " + " ".join(f"a{k}" for k in range(40)) + "."
+    bench = spark.createDataFrame([(1, short), (2, long), (3, "solitary"), (4, "two words")], "item_id bigint, text string")
+    question = short.split("?")[0]
+    rows = [
+        (1, f"{filler(50, 1)} {question}? {filler(50, 2)}"),
+        (2, f"{filler(50, 1)} {question}? Paris, {filler(50, 2)}"),
+        (3, f"{filler(50, 1)} {question}? {filler(900, 2)} paris"),
+        (4, " ".join(long.split()[:70])),
+        (5, f"{filler(90, 3)} {long} {filler(90, 4)}"),
+        (6, " ".join(long.split()[:150] + long.split()[-40:])),
+        (7, f"{filler(300, 5)} Solitary! {filler(20, 6)}"),
+        (8, "solitary"),
+        (9, "these two words"),
+        (10, "a0 a1 a2 a3 a4 a5 a6 a7 a8 a9"),
+    ]
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contamination(docs_of(rows), bench).collect())
+    assert got == [(2, 1), (5, 2), (6, 2), (7, 3), (8, 3), (9, 4)]
+
+
 def test_items_in_slices_give_the_same(spark, docs_of, monkeypatch):
     rows = [(1, ITEMS[0][1]), (2, ITEMS[1][1])]
     want = sorted(map(tuple, decontaminate.contamination(docs_of(rows), items(spark)).collect()))
