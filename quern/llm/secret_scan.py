@@ -1,9 +1,9 @@
 """Operator 8: secret scan with multipart credential linking.
 
 Strong patterns are found as they stand. Weak parts (an access identifier, a secret-looking value, an endpoint)
-are candidates only: an interval join of the parts of a document by their scopes reports the parts of a scope
-in which an identifier and a secret, or a secret and an endpoint, stand together. The join is a sweep over the
-sorted parts of one document, linear in their number, so a scope of thousands of parts makes no pairs.
+are candidates only: an interval join of a document's identifiers with its secrets, and of its secrets with its
+endpoints, reports a part where one that complements it is in reach. Parts don't lengthen each other's reach. The join
+is two sweeps over the sorted parts of one document, linear in their number, so thousands of parts make no pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,8 +32,12 @@ VALUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~:/?#@!$&()*+,;=%\[\]-]+|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}[A-Za-z0-9.:/_-]*)""", re.ASCII | re.IGNORECASE)
 _DIGIT, _HINTS = re.compile(r"[0-9]"), ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Characters between two parts of a scope at most; an empty line ends a scope as well.
+#: What each kind of part is to a credential, and what complements it.
+ROLES = ("secret", "identifier", "secret", "identifier", "secret", "endpoint")
+COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
+#: Characters between a part and one that complements it at most; no empty line stands between them.
 SCOPE = 240
+_EMPTY_LINE = re.compile(r"\n\n")
 #: Bits a character that a weak value must have.
 ENTROPY = 3.2
 
@@ -56,7 +61,7 @@ def _entropy(s: str) -> float:
 
 
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
-    """Weak parts with a complementary part in their scope. Base spans take part as what they are, and stay."""
+    """Weak parts with a complementary part in reach. Base spans take part as what they are, and stay."""
     if not ("=" in text or ":" in text or base) or not (_DIGIT.search(text) or base):
         return []
     weak: list[Span] = []
@@ -72,22 +77,32 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     weak = sorted(weak + values)
     if not weak:
         return []
-    role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "s", 5: "e"}
-    parts = sorted([*weak, *base])
-    scopes, current, reach = [], [], -1
-    for p in parts:
-        if current and (p[0] - reach > SCOPE or "\n\n" in text[max(reach, 0) : p[0]]):
-            scopes.append(current)
-            current = []
-        current.append(p)
-        reach = max(reach, p[2]) if len(current) > 1 else p[2]
-    scopes.append(current)
-    out: list[Span] = []
-    for scope in scopes:
-        roles = {role[k] for _, k, _ in scope}
-        if "s" in roles and len(roles) > 1:
-            out += [p for p in scope if p[1] >= 3]
-    return sorted(out)
+    linked = in_reach(sorted([*weak, *base]), text)
+    return [p for p, found in linked if found and p[1] >= 3]
+
+
+def in_reach(parts: list[Span], text: str) -> list[tuple[Span, bool]]:
+    """Each of the sorted ``parts``, and whether one that complements it stands within ``SCOPE`` in its paragraph.
+
+    The interval of a part is its span and ``SCOPE`` characters to both sides. Of the parts that complement it the one
+    that ends last before it and the one that begins next are the nearest, so two passes decide the join, however many
+    parts there are.
+    """
+    breaks = [m.start() for m in _EMPTY_LINE.finditer(text)]
+    found = [False] * len(parts)
+    for order, back in ((range(len(parts)), False), (range(len(parts) - 1, -1, -1), True)):
+        edge: dict[str, int] = {}  # of each role, how far the parts that were passed reach towards this one
+        paragraph = -1
+        for k in order:
+            start, kind, end = parts[k]
+            if (here := bisect_right(breaks, start)) != paragraph:
+                edge, paragraph = {}, here
+            for other in COMPLEMENTS[ROLES[kind]]:
+                if other in edge and (edge[other] - end if back else start - edge[other]) <= SCOPE:
+                    found[k] = True
+            role = ROLES[kind]
+            edge[role] = min(edge.get(role, start), start) if back else max(edge.get(role, end), end)
+    return list(zip(parts, found, strict=True))
 
 
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:

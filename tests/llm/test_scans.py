@@ -66,6 +66,44 @@ def test_linking(text, kinds):
     assert {secret_scan.KINDS[k] for _, k, _ in added} == kinds and found == base(text)
 
 
+def brute_linked(text):
+    """Weak parts by comparing all pairs of parts."""
+    base_spans = secret_scan.base_spans(text)
+    weak = [(m.start(), 3, m.end()) for m in secret_scan.IDENTIFIER.finditer(text)] + [(m.start(), 5, m.end()) for m in secret_scan.ENDPOINT.finditer(text)]
+    taken = weak + base_spans
+    weak += [(m.start(), 4, m.end()) for m in secret_scan.VALUE.finditer(text) if secret_scan._entropy(m.group()) >= secret_scan.ENTROPY and all(e <= m.start() or s >= m.end() for s, _, e in taken)]
+    role = "sisise"
+
+    def linked(p, q):
+        if {role[p[1]], role[q[1]]} not in ({"i", "s"}, {"e", "s"}):
+            return False
+        first, last = sorted([p, q])
+        return last[0] - first[2] <= secret_scan.SCOPE and "\n\n" not in text[first[0] : last[0] + 1]
+
+    return sorted(p for p in weak if any(linked(p, q) for q in weak + base_spans))
+
+
+def test_linking_equals_all_pairs():
+    import random
+
+    rng = random.Random(2)
+    parts = [f"user: alice{{}}", VALUE, "https://x.example.com/a", "password=hunter22", "AKIA" + "A" * 16, "\n\n", "words " * 20, "words " * 45, "\n", "host: db.example.com "]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert secret_scan.spans_of(text)[1] == brute_linked(text), text
+
+
+def test_scopes_do_not_chain():
+    text = "user: alice " + "".join(f"https://x.example.com/{'z' * 150} {'w ' * 20}" for _ in range(50)) + VALUE
+    added = secret_scan.spans_of(text)[1]
+    assert [k for _, k, _ in added].count(3) == 0 and 1 <= [k for _, k, _ in added].count(5) <= 2
+
+
+def test_repeated_ids(docs_of):
+    rows = secret_scan.scan(docs_of([(1, "password=hunter22"), (1, "clean"), (1, "password=hunter22")])).collect()
+    assert sorted((r.doc_id, r.n_assign) for r in rows) == [(1, 0), (1, 1), (1, 1)]
+
+
 def test_many_parts_make_no_pairs():
     text = f"user: alice {VALUE} " * 5000
     assert len(secret_scan.spans_of(text)[1]) == 10_000
