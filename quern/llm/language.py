@@ -7,20 +7,20 @@ the sums over its words; its language is the best, its score the share of words
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quern.llm.shared import fold
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 
@@ -166,7 +166,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", into
 def language_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Train outside fold 2 of 4 and predict every document: doc_id, held_out, lang_pred, score.
 
-    Repeated rows give a row each; a null id is in the training folds and not held out.
+    Repeated rows give a row each; a null id is in the training folds and not held out. An empty table gives an empty
+    result; with no labelled row every language is ``und``. Only letters count (signs such as ``²`` are none); texts
+    are read whole, however long, in blocks of tokens. Other columns, whatever their names, are not read.
     """
     model = train(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col), 4) == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
