@@ -4,7 +4,8 @@ A document is the set of its features, hashed: character n-grams (case and punct
 which capitals, other letters and digits are one sign each and repeated signs are one, and how much of a text repeats
 the token before. Each indicator is scaled by the log ratio of its smoothed counts in the two
 classes, vectors are brought to unit length, and a linear model with hinge loss is fitted by dual coordinate
-descent; its margin is turned into a probability by a logistic curve.
+descent. Its weights are interpolated with their mean magnitude, which all features have in Naive Bayes, and the margin
+is turned into a probability by a logistic curve.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,6 @@ TRAIN_DOCS = 8000
 ALPHA, COST, EPOCHS, BLEND = 1.0, 1.0, 12, 0.25
 #: Code points that are read at a time, and classes of shape in a run.
 BLOCK, SHAPE_RUN = 1 << 18, 6
-#: Distances at which a token's repetition is a feature, by the share of tokens (in eighths) that are repeated there.
-ECHOES = (1, 2, 3, 4)
 _CASE = 1 << 16  # code points above count as letters
 
 
@@ -49,13 +47,9 @@ class Features:
 
     def of(self, text: str) -> np.ndarray:
         """Sorted distinct features of a whole text, white space taken as one space; none without a word."""
-        tokens = text.split()
-        if not tokens:
+        plain = " ".join(text.split())
+        if not plain:
             return np.zeros(0, dtype=np.int64)
-        plain = " ".join(tokens)
-        for k in ECHOES:
-            again = sum(map(eq, tokens, tokens[k:])) * 8 // len(tokens)
-            self.seen[int(mix(np.array([1 << 62 | k << 8 | again], dtype=np.uint64))[0] >> np.uint64(48))] = True
         codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         for start in range(0, len(codes), BLOCK):
             some = codes[start : start + BLOCK + max(ORDERS) - 1]
@@ -146,7 +140,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> QualityModel:
         return QualityModel(np.zeros(DIM), np.zeros(DIM), 0.0, 0.0, float(np.log(share / (1 - share))))
     ratios = log_count_ratios(rows, signs)
     w, bias = dual_descent(rows, signs, ratios)
-    w = BLEND * np.abs(w).mean() * np.sign(w) + (1 - BLEND) * w
+    w = BLEND * np.abs(w).mean() + (1 - BLEND) * w
     model = QualityModel(w * ratios, ratios * ratios, bias, 1.0, 0.0)
     margins = np.array([np.log(max(s := model.score(x), 1e-18) / max(1 - s, 1e-18)) for x in rows])
     model.slope, model.offset = _logistic(margins, (signs > 0).astype(float))
@@ -194,7 +188,9 @@ def with_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", i
 def quality_table(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train outside fold 1 of 3, score every document: doc_id, held_out, score, predicted.
 
-    Repeated rows give a row each; a null id is not held out. Other columns are not read.
+    Repeated rows give a row each; a null id is not held out. Other columns, whatever their names, are not read. A text
+    is read whole, however long, in blocks; a null or empty one has no feature and gets the score of the bias alone. A
+    score of exactly 0.5 counts as 1. An empty table gives an empty result; without labels every score is 0.5.
     """
     model = train(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col), 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
