@@ -107,6 +107,8 @@ def joined(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 def links(classes: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links between classes (cid, label, vec of ``size`` components, n) of one label with a cosine of ``similarity`` or
     more, as rows (a, b, m): with b, that links join a and b; without, that a has m linked vectors in one place."""
+    if size == 1:  # a second component of zero leaves the cosine as it is and gives the second half something to hold
+        classes, size = classes.withColumn("vec", F.concat("vec", F.array(F.lit(0.0)))), 2
     n = classes.count()
     k, half = codebook_size(n), size // 2
     sample = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) <= F.lit((1 << 20) * SAMPLE / n)).select("vec").limit(2 * SAMPLE).toArrow()
@@ -160,12 +162,13 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     Vectors are linked where their labels are equal and not null, their lengths are equal and their cosine is
     ``similarity`` or more. A null or empty vector, one of zeros, and one with a null or non-finite component link
     with nothing: 0 links, their own component. Repeated rows are vectors of their own. ``component_id`` is the
-    smallest id that links reach (ids that are null are passed over), ``kept`` whether it is the row's own.
+    smallest id that links reach (ids that are null are passed over), ``kept`` whether it is the row's own. Vectors of
+    one component link where their signs are equal.
     Columns other than the three are not read. An empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("bigint").alias("label"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vec", lambda x: x != 0)
-    good = F.coalesce(F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") >= 2) & finite, F.lit(False))
+    good = F.coalesce(F.col("label").isNotNull() & F.col("vec").isNotNull() & finite, F.lit(False))
     rows = rows.withColumn("cid", F.when(good, F.unhex(F.md5(F.concat_ws(",", F.col("label").cast("string"), F.transform("vec", lambda x: (x + F.lit(0.0)).cast("string")))))))
     classes = materialise(rows.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("vec_id").alias("least")), "vectors")
     sizes = [r[0] for r in classes.select(F.size("vec")).distinct().orderBy(F.size("vec")).collect()]
@@ -176,7 +179,9 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("m").alias("m"))
     part = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cid")
     known = classes.select("cid", "n", "least").join(counts, "cid", "left").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    known = known.join(known.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cid", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id")
+    # A table of its own, so that the join with a component of very many vectors can be split.
+    smallest = materialise(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
+    known = known.join(smallest, "component").select("cid", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "cid").join(known, "cid", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).cast("bigint").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
