@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm.licences import ANCHORS, BASE, SHARE, TEMPLATES, positional_index
+from quern.llm.licences import BASE, SHARE, TEMPLATES, positional_index
 
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -28,11 +28,10 @@ def licence_scan() -> str:
         words = phrase.split()
         same = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(words))
         places.append(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d WHERE list_contains(words, '{words[0]}')) WHERE {same}")
-    anchored = " OR ".join(f"list_contains(words, '{a}')" for a in ANCHORS)
     return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SEPARATOR}'), lambda w: w <> '') AS words FROM documents),
     p(w, t, o, s) AS (VALUES {values}), k(t, label, phrases) AS (VALUES {needed}), base AS ({' UNION ALL '.join(places)}),
     b AS (SELECT doc_id, count(*) AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
-    w AS (SELECT doc_id, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM d WHERE {anchored}),
+    w AS (SELECT doc_id, unnest(words) AS w, unnest(range(0, len(words))) AS i FROM d),
     h AS (SELECT doc_id, t, i - o AS start, sum(s) AS s FROM w JOIN p USING (w) GROUP BY ALL HAVING sum(s) >= {SHARE}),
     f AS (SELECT doc_id, k.label, max(s) AS s FROM h JOIN k USING (t) JOIN d USING (doc_id) WHERE len(list_filter(phrases, lambda x: NOT contains(' ' || array_to_string(words, ' ') || ' ', ' ' || x || ' '))) = 0 GROUP BY ALL),
     m AS (SELECT doc_id, max(s) AS s FROM f GROUP BY doc_id),

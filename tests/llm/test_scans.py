@@ -144,6 +144,28 @@ def test_licence_texts(odd, docs_of):
     assert licences.scan(odd.limit(0)).count() == 0
 
 
+ISC = "to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+
+
+def test_anchors_are_in_every_file_that_can_be_found():
+    found = set(licences.anchors())
+    assert all(any(w in found for w in phrases[0].split()) for _, _, phrases in licences.TEMPLATES)
+    postings, _ = licences.positional_index()
+    assert not {"of", "to", "in", "is", "and", "this", "the"} & set(postings)
+
+
+def test_templates_from_a_table(spark, docs_of):
+    rows = [("own", "Use is granted to all Readers of this Almanac, without Exception.", ["granted to all readers"]), (None, "x", ["x"]), ("empty", "--", ["x"]), ("bare", "words", []), ("null", None, None)]
+    table = spark.createDataFrame(rows, "label string, notice string, phrases array<string>")
+    texts = ["Use is granted to all readers of this almanac", "granted to all readers", f"MIT License. Permission {ISC}", ISC, None]
+    got = {r.doc_id: r.labels for r in licences.scan(docs_of(list(enumerate(texts))), templates=table).collect()}
+    assert got == {0: "own", 1: "", 2: "mit", 3: "", 4: ""}
+    own = {r.doc_id: r.labels for r in licences.scan(docs_of(list(enumerate(texts)))).collect()}
+    none = licences.scan(docs_of(list(enumerate(texts))), templates=table.limit(0)).collect()
+    assert [r.labels for r in sorted(none)] == ["", "", "mit", "", ""]
+    assert own[2] == "isc-notice,mit" and own[3] == "isc-notice"
+
+
 def test_licence_sql(spark, docs_of, tmp_path):
     import duckdb
 
