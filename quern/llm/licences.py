@@ -41,8 +41,9 @@ TEMPLATES = (
 )
 
 #: Words of a template that have postings: those of the highest IDF among its first ``OPENING`` words, which a file that
-#: quotes only the beginning of a notice has too.
-POSTED, OPENING = 8, 28
+#: quotes only the beginning of a notice has too. Words in more than a share of ``COMMON`` of the templates are left out,
+#: but for a template's two rarest.
+POSTED, OPENING, COMMON = 8, 28, 0.25
 #: Share of the IDF of a template's postings that must agree on one beginning.
 SHARE = 0.6
 #: Templates at most: their postings are part of the plan.
@@ -63,7 +64,8 @@ def positional_index(templates: Sequence[Template] = TEMPLATES) -> tuple[dict[st
     whole = []
     for k, (_, notice, _) in enumerate(templates):
         words = notice.split()[:OPENING]
-        rare = sorted(set(words), key=lambda w: (seen[w], -len(w), w))[:POSTED]
+        ranked = sorted(set(words), key=lambda w: (seen[w], -len(w), w))[:POSTED]
+        rare = [w for n, w in enumerate(ranked) if n < 2 or seen[w] <= max(1, COMMON * len(templates))]
         idf = {w: math.log(1 + len(templates) / seen[w]) for w in rare}
         whole.append(sum(idf[w] for w in words if w in idf))
         for offset, w in enumerate(words):
