@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.segments import SegmentTable, in_slices, rows_of, text_slices
+from quern.llm.segments import SegmentTable, in_slices, rows_of
+from quern.llm.shared import text_slices
 
 _NONE = np.int64(1) << 60
 _LONG = 128  # bytes from which a piece gets a tree of its own
@@ -194,9 +195,13 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def _codec(path: str, pattern: str) -> tuple[ByteBpe, SegmentTable]:
-    codec = ByteBpe.load(path, pattern)
-    return codec, SegmentTable(lambda segments: rows_of(codec.ids(segments)))
+def _codec(path: str, pattern: str) -> ByteBpe:
+    return ByteBpe.load(path, pattern)
+
+
+def _table(codec: ByteBpe) -> SegmentTable:
+    """A table for one task: what it holds goes with the task, whatever runs in its worker next."""
+    return SegmentTable(lambda segments: rows_of(codec.ids(segments)), limit=500_000)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -204,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
 
     @arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        _, table = _codec(path, pattern)
+        table = _table(_codec(path, pattern))
         for batch in batches:
             out = []
             for texts in text_slices(batch):
@@ -219,7 +224,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", into: s
 
     @arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec, _ = _codec(path, pattern)
+        codec = _codec(path, pattern)
         most = len(codec.tokens)
         for batch in batches:
             yield pa.array([codec.text([i for i in ids or () if i is not None and 0 <= i < most]) for ids in batch.to_pylist()], pa.binary())
@@ -240,7 +245,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     @arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:array<int>>" if with_ids else ">"))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec, table = _codec(path, pattern)
+        codec = _codec(path, pattern)
+        table = _table(codec)
         digit = codec.digits.__getitem__
         for batch in batches:
             n, sha, back, all_ids = [], [], [], []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.shared import WordHashes, distinct, grams
+from quern.llm.shared import WordHashes, distinct, grams, text_slices
 
 # Production parameters.
 WINDOW, STRIDE = 128, 64  # words of a passage, and between the starts of two; an item part has at most STRIDE words
@@ -285,7 +285,7 @@ def _finder(items, counts):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes, index = WordHashes(), _built(name, shipped)
         for batch in batches:
-            found = [index.leaks(words) if len(words) else [] for words in hashes.many(batch.to_pylist())]
+            found = [index.leaks(words) if len(words) else [] for texts in text_slices(batch) for words in hashes.many(texts)]
             yield pa.array([[dict(zip(("item_id", "score", "question_overlap", "answer_overlap"), x, strict=True)) for x in xs] for xs in found], kind)
 
     return run

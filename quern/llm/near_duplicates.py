@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from quern.llm.components import components
-from quern.llm.shared import WordHashes, distinct, grams, materialise, mix
+from quern.llm.shared import WordHashes, distinct, grams, materialise, mix, text_slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -98,24 +98,27 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keys, and 16 bits of each register."""
     kind = "struct<content:binary,size:int,bands:array<bigint>,registers:binary>"
 
+    def sketched(texts: list[str], hashes: WordHashes) -> pa.StructArray:
+        found = [weighted_runs(words) for words in hashes.many(texts)]
+        some = [k for k, (runs, _) in enumerate(found) if len(runs)]
+        winners = np.array([signature(*found[k]) for k in some], dtype=np.uint64).reshape(-1, REGISTERS)
+        low = mix(winners).astype("<u2")
+        at = np.full(len(found), -1)
+        at[some] = np.arange(len(some))
+        pick = pa.array(at, mask=at < 0)
+        columns = [
+            pa.array([blake2b(found[k][0].tobytes(), digest_size=16).digest() for k in some], pa.binary()),
+            pa.array([len(found[k][0]) for k in some], pa.int32()),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(band_keys(winners).ravel())),
+            pa.array([row.tobytes() for row in low], pa.binary()),
+        ]
+        return pa.StructArray.from_arrays([c.take(pick) for c in columns], names=["content", "size", "bands", "registers"])
+
     @arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for batch in batches:
-            found = [weighted_runs(words) for words in hashes.many(batch.to_pylist())]
-            some = [k for k, (runs, _) in enumerate(found) if len(runs)]
-            winners = np.array([signature(*found[k]) for k in some], dtype=np.uint64).reshape(-1, REGISTERS)
-            low = mix(winners).astype("<u2")
-            at = np.full(len(found), -1)
-            at[some] = np.arange(len(some))
-            pick = pa.array(at, mask=at < 0)
-            columns = [
-                pa.array([blake2b(found[k][0].tobytes(), digest_size=16).digest() for k in some], pa.binary()),
-                pa.array([len(found[k][0]) for k in some], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(band_keys(winners).ravel())),
-                pa.array([row.tobytes() for row in low], pa.binary()),
-            ]
-            yield pa.StructArray.from_arrays([c.take(pick) for c in columns], names=["content", "size", "bands", "registers"])
+            yield pa.concat_arrays([sketched(texts, hashes) for texts in text_slices(batch)] or [sketched([], hashes)])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), run(F.col(text_col)).alias("s")).select("doc_id", "mark", "s.*")
 
@@ -127,7 +130,7 @@ def runs_of(text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashes = WordHashes()
         for batch in batches:
-            yield pa.array([weighted_runs(words)[0].tobytes() for words in hashes.many(batch.to_pylist())], pa.binary())
+            yield pa.array([weighted_runs(words)[0].tobytes() for texts in text_slices(batch) for words in hashes.many(texts)], pa.binary())
 
     return run(text)
 

@@ -71,7 +71,7 @@ def names_hashed(names: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     first, last = (int(offsets[0]), int(offsets[-1])) if len(names) else (0, 0)
     data = np.frombuffer(names.buffers()[2], dtype=np.uint8)[first:last] if last > first else np.zeros(0, dtype=np.uint8)
     start, size = offsets[:-1] - first, np.diff(offsets).astype(np.uint64)
-    up, down = powers(max(20, int(len(data)).bit_length()))
+    up, down = powers(len(data) + 1)
     out = []
     for k in (1, 2):
         with np.errstate(over="ignore"):
@@ -214,15 +214,3 @@ def rows_of(values: list) -> Rows:
 
 def in_slices(values: list, size: int = 256) -> list[list]:
     return [values[i : i + size] for i in range(0, len(values), size)]
-
-
-def text_slices(column: pa.Array, most: int = 512, size: int = 4_000_000) -> Iterator[list[str]]:
-    """Neighbouring texts, null ones empty: a bounded number and, unless one is longer, of a bounded size in bytes together."""
-    start, held = 0, 0
-    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
-        if k > start and (k - start >= most or held + n > size):
-            yield [t or "" for t in column.slice(start, k - start).to_pylist()]
-            start, held = k, 0
-        held += n
-    if start < len(column):
-        yield [t or "" for t in column.slice(start).to_pylist()]

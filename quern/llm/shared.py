@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def fold(doc_id, modulus: int):
 
 
 #: Characters that are hashed at a time; a longer text is cut before a sign that belongs to no word.
-HASH_BLOCK = 1 << 20
+HASH_BLOCK = (1 << 19) - 1
 _STEP, _BACK = 0x9E3779B97F4A7C55, pow(0x9E3779B97F4A7C55, -1, 1 << 64)
 
 
@@ -57,16 +59,18 @@ def _signs() -> tuple[np.ndarray, np.ndarray]:
     return inside, mix(np.arange(1, 0x110001, dtype=np.uint64) * _M1)
 
 
-@cache
-def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, 2**bits of each."""
-    out = []
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers, or some more, of an odd number and of its inverse; those of the largest ``n`` are kept."""
     for step in (_STEP, _BACK):
-        powers = np.full(1 << bits, step, dtype=np.uint64)
-        powers[0] = 1
-        with np.errstate(over="ignore"):
-            out.append(np.cumprod(powers))
-    return out[0], out[1]
+        if len(_POWERS.get(step, ())) < n:
+            made = np.full(1 << max(HASH_BLOCK.bit_length(), n.bit_length()), step, dtype=np.uint64)
+            made[0] = 1
+            with np.errstate(over="ignore"):
+                _POWERS[step] = np.cumprod(made)
+    return _POWERS[_STEP], _POWERS[_BACK]
 
 
 class WordHashes:
@@ -85,7 +89,7 @@ class WordHashes:
         size = 0
         for text in texts:
             low = (text or "").lower()
-            if some and size + len(low) > HASH_BLOCK:
+            if some and size + len(low) >= HASH_BLOCK:
                 out += self._block(some)
                 some, size = [], 0
             if len(low) > HASH_BLOCK:
@@ -102,7 +106,7 @@ class WordHashes:
         word = np.concatenate([[False], inside[codes], [False]])
         edges = np.flatnonzero(word[1:] != word[:-1])
         start, end = edges[::2], edges[1::2]
-        up, down = powers(max(HASH_BLOCK.bit_length(), len(codes).bit_length()))
+        up, down = powers(len(codes) + 1)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(values[codes] * up[: len(codes)])])
             hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
@@ -153,3 +157,15 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
         for k in range(1, n):
             out = out * _M1 + words[k : len(words) - n + 1 + k]
         return mix(out)
+
+
+def text_slices(column: pa.Array, most: int = 512, size: int = 4_000_000) -> Iterator[list[str]]:
+    """Neighbouring texts, null ones empty: a bounded number and, unless one is longer, of a bounded size in bytes together."""
+    start, held = 0, 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if k > start and (k - start >= most or held + n > size):
+            yield [t or "" for t in column.slice(start, k - start).to_pylist()]
+            start, held = k, 0
+        held += n
+    if start < len(column):
+        yield [t or "" for t in column.slice(start).to_pylist()]

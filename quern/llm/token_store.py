@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.segments import Rows, SegmentTable, in_slices, rows_of, text_slices
-from quern.llm.shared import mix, shared_path
+from quern.llm.segments import Rows, SegmentTable, in_slices, rows_of
+from quern.llm.shared import mix, shared_path, text_slices
 
 SHARD_SCHEMA = "part int, shard int, part_base bigint, n_ids bigint, min_key bigint, max_key bigint, keys array<bigint>, ends array<bigint>, seeds binary, prints binary, slots binary, payload binary"
 _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_base", pa.int64()), ("n_ids", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("seeds", pa.binary()), ("prints", pa.binary()), ("slots", pa.binary()), ("payload", pa.binary())])
