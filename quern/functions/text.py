@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # The characters that count as white space, and the ends of sentences.
 WS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_WS = "[^" + WS[1:]
 SENTENCE_END = r"(?<=[.!?。！？])" + WS + r"+|\n{2,}"
 # Fixed value: runs of Sinhala letters and joiners, of ASCII letters, or of digits.
 TOKEN = r"([\x{0D80}-\x{0DFF}\x{200D}]+|[a-zA-Z]+|(?U)\d+)"
@@ -31,14 +32,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS + "+"), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """How many parts stand between white space, without making them; a null text has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(NOT_WS + "+"))
+
+
 def normalise_space(text: Column) -> Column:
     return F.array_join(words(text), " ")
 
 
 def token_estimate(text: Column) -> Column:
     """0 for an empty or null text, else words x 1.35 + non-ASCII characters / 4, at least 1."""
-    foreign = F.length(F.regexp_replace(text, r"[\x00-\x7f]", ""))
-    estimate = (F.size(words(text)) * F.lit(1.35) + foreign / F.lit(4.0)).cast("int")
+    foreign = F.length(F.regexp_replace(text, r"[\x00-\x7f]+", ""))
+    estimate = (word_count(text) * F.lit(1.35) + foreign / F.lit(4.0)).cast("int")
     return F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.greatest(F.lit(1), estimate))
 
 

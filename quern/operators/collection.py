@@ -10,8 +10,8 @@ from quern.functions import text as T
 LEAST_WORDS = 8
 MOST_TITLES, SCAN_ROWS = 10_000, 20_000
 # Keys that a search may filter by, and extras that are kept with a chunk.
-FILTER_KEYS = {"source_file": "string", "block_type": "string", "lesson_title": "string", "page_number": "int", "lesson_number": "int", "chunk_index": "int"}
-CARRIED = ("unit", "ocr", "storage_key", "image_sha256", "caption", "n_rows", "n_cols", "language")
+FILTER_KEYS = {"lesson_title": "string", "lesson_number": "int", "page_number": "int", "block_type": "string", "source_file": "string", "chunk_id": "string"}
+CARRIED = ("table_id", "n_rows", "n_cols", "image_id", "storage_key", "storage_url", "width", "height")
 
 
 def gate(embed_text: Column, kind: Column, least: int = LEAST_WORDS) -> Column:

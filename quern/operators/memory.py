@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -64,9 +64,18 @@ def erase(stored: DataFrame, user_id, kind: str) -> tuple[DataFrame, DataFrame]:
     return stored.where(~gone), stored.where(gone).agg(F.count("*").alias("erased"))
 
 
+# How an episode's outcome is told.
+VERDICTS = ("WORKED", "DID NOT WORK")
+
+
+def verdict(success: Column) -> Column:
+    """Of an episode; one that doesn't say is taken to have worked."""
+    return F.when(F.coalesce(success, F.lit(True)), VERDICTS[0]).otherwise(VERDICTS[1])
+
+
 def exemplar():
     """An episode as text."""
-    return F.concat_ws("\n", F.concat(F.lit("Situation: "), "situation"), F.concat(F.lit("Action: "), "action"), F.concat(F.lit("Outcome ("), F.when(F.col("success"), "worked").otherwise("did not work"), F.lit("): "), "outcome"), F.concat(F.lit("Lesson: "), "lesson"))
+    return F.concat_ws("\n", F.concat(F.lit("Situation: "), "situation"), F.concat(F.lit("Action: "), "action"), F.concat(F.lit("Outcome ("), verdict(F.col("success")), F.lit("): "), "outcome"), F.concat(F.lit("Lesson: "), F.nullif("lesson", F.lit(""))))
 
 
 def render_recall(recalled: DataFrame, texts: DataFrame) -> DataFrame:
@@ -87,7 +96,7 @@ def flatten(hits: DataFrame, payload: str = "payload") -> DataFrame:
     of the payload (a map) that begin with an underscore are dropped."""
     public = F.map_filter(F.col(payload), lambda k, v: ~k.startswith("_"))
     part = lambda k: F.try_element_at(F.col(payload), F.lit(k))
-    episode = F.concat_ws("\n", F.concat(F.lit("Situation: "), part("situation")), F.concat(F.lit("Action: "), part("action")), F.concat(F.lit("Outcome: "), part("outcome")), F.concat(F.lit("Lesson: "), part("lesson")))
+    episode = F.concat_ws("\n", F.concat(F.lit("Situation: "), part("situation")), F.concat(F.lit("Action: "), part("action")), F.concat(F.lit("Outcome ("), verdict(part("success").try_cast("boolean")), F.lit("): "), part("outcome")), F.concat(F.lit("Lesson: "), F.nullif(part("lesson"), F.lit(""))))
     return hits.withColumn(payload, public).withColumn("content", F.when(F.col("kind") == "episodic", episode).otherwise(F.coalesce(part("content"), part("instruction"), F.col("searchable_text"))))
 
 

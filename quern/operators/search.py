@@ -111,14 +111,19 @@ def diversify(hits: DataFrame, limit: int, similar: float = SIMILAR, text: str =
 
     ``hits``: query_id, chunk_id, score, rank, text; of each query a bounded number, as ``top`` gives.
     """
-    item = F.struct("rank", "chunk_id", "score", F.array_distinct(T.tokens(F.col(text))).alias("tokens"))
+    item = F.struct("rank", "chunk_id", "score", F.array_distinct(F.transform(T.tokens(F.col(text)), lambda t: F.xxhash64(t))).alias("tokens"))
     lists = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     worth = F.filter("items", lambda x: F.size(x["tokens"]) > 0)
     start = F.slice(worth, 1, 0)
 
+    def alike(a: Column, b: Column) -> Column:
+        # Sets of very different sizes can't be alike; one intersection gives the share of the others.
+        smaller, larger, both = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b)), F.size(F.array_intersect(a, b))
+        return F.when(smaller < similar * larger, F.lit(False)).otherwise(both >= similar * (smaller + larger - both))
+
     def keep(kept: Column, x: Column) -> Column:
         full = F.size(kept) >= limit
-        return F.when(full | F.exists(kept, lambda y: T.jaccard(x["tokens"], y["tokens"]) >= similar), kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(full | F.exists(kept, lambda y: alike(x["tokens"], y["tokens"])), kept).otherwise(F.concat(kept, F.array(x)))
 
     return lists.select("query_id", F.posexplode(F.aggregate(worth, start, keep)).alias("place", "hit")).select("query_id", "hit.chunk_id", "hit.score", (F.col("place") + 1).alias("rank"))
 

@@ -153,8 +153,13 @@ def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.merge_rules(rows.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "memory_id"), rows.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "new_id"))
 
 
-_POLICY = f"""CASE WHEN regexp_matches(t, '(?i)^\\s*(hi|hey|hello|good (morning|afternoon|evening|day)|thanks?|thank you|ok(ay)?|bye|goodbye|ආයුබෝවන්|ස්තූතියි)\\s*[!.?]*\\s*$') THEN 'greeting' WHEN regexp_matches(t, '(?i)\\bmy (progress|score|marks|results|goal)\\b|\\bdo you remember\\b|\\blast time\\b|\\bwhat did i\\b') THEN 'personal'
-WHEN h AND regexp_matches(t, '(?i)\\b(explain|tell me) more\\b|\\bmore detail|\\bgo on\\b|\\bcontinue\\b|\\bwhat about\\b|\\banother (one|example)\\b|\\bagain\\b|තවත්') THEN 'followup' WHEN h THEN 'has_history' WHEN length(t) < 12 THEN 'too_short' ELSE 'cacheable' END"""
+def _says(pattern: str) -> str:
+    return "regexp_matches(t, '(?i)" + pattern.replace("'", "''") + "')"
+
+
+_PHRASES = cache.Phrases()
+_POLICY = f"""CASE WHEN {_says(_PHRASES.greeting)} THEN 'greeting' WHEN {_says(_PHRASES.personal)} THEN 'personal' WHEN h AND {_says(_PHRASES.follow_up)} THEN 'followup'
+WHEN h THEN 'has_history' WHEN length(t) < 12 THEN 'too_short' ELSE 'cacheable' END"""
 
 
 @query("cache_policy", f"WITH c AS (SELECT conv_id, turn, turn > 1 AS h, {sql_strip('text')} AS t FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_POLICY} AS decision FROM c")

@@ -21,7 +21,7 @@ _SENTENCES = f"len(list_filter(string_split(regexp_replace(regexp_replace(text,
     len({sql_words('text')}) AS words, {_SENTENCES} AS sentences FROM documents""", ints=("words", "sentences"))
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(t).alias("tokens"), F.size(T.words(t)).alias("words"), F.size(T.sentences(t)).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(t).alias("tokens"), T.word_count(t).alias("words"), F.size(T.sentences(t)).alias("sentences"))
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 UPLOAD_BYTES, DOCUMENT_BYTES, NAME_CHARS = 100 * 1024 * 1024, 200 * 1024 * 1024, 255
 
 # Suffixes for documents whose name has none.
-SUFFIXES = {"application/pdf": ".pdf", "text/html": ".html", "text/csv": ".csv", "application/json": ".json", "text/plain": ".txt", "image/png": ".png"}
+SUFFIXES = {"application/pdf": ".pdf", "application/json": ".json", "text/plain": ".txt", "text/html": ".html", "image/png": ".png", "image/jpeg": ".jpg"}
 
 
 def safe_key(key: Column) -> Column:

@@ -22,7 +22,7 @@ def test_lessons_by_place(spark):
 def test_memory_shapes(spark):
     hits = spark.createDataFrame([("episodic", {"situation": "s", "action": "a", "outcome": "o", "lesson": "l", "_x": "y"}, "t"), ("semantic", {"content": "c"}, "t"), ("procedural", {"instruction": "i"}, "t"), ("semantic", {"_k": "v"}, "t")], "kind string, payload map<string,string>, searchable_text string").coalesce(1)
     got = M.flatten(hits).collect()
-    assert [r.content for r in got] == ["Situation: s\nAction: a\nOutcome: o\nLesson: l", "c", "i", "t"] and got[3].payload == {} and "_x" not in got[0].payload
+    assert [r.content for r in got] == ["Situation: s\nAction: a\nOutcome (WORKED): o\nLesson: l", "c", "i", "t"] and got[3].payload == {} and "_x" not in got[0].payload
     messages = spark.createDataFrame([("s", 0, "user", 0), ("s", 1, "assistant", 1), ("s", 2, "tool", 0), ("s", 3, "assistant", 0), ("s", 4, "assistant", 1), ("t", 0, "user", 0)], "session string, i int, role string, calls int")
     assert sorted((r.session, r.i) for r in M.working_window(messages, "session", "i", 3).collect()) == [("s", 3), ("t", 0)]
 

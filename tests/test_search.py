@@ -111,9 +111,9 @@ def test_gate_payload_and_upsert(spark):
     rows = [("one two three four five six seven eight", "text", None), ("one two three - - - - -", "text", "too_short"), ("x", "table", None), (" ", "table", "empty"), (None, "text", "empty"), ("x", None, "too_short")]
     df = spark.createDataFrame(rows, "t string, k string, want string").coalesce(1)
     assert all(r.x == r.want for r in df.select("want", C.gate(F.col("t"), F.col("k")).alias("x")).collect())
-    c = spark.createDataFrame([("c", "d", "u", "t", None, 2, 0, 5, "text", "s", ["7 Heat"], {"ocr": "true", "zz": "1"}), ("c2", "d", "u", "t", "Own", 2, 0, 5, "text", "s", [], None)], "chunk_id string, doc_id string, user_id string, text string, lesson_title string, page int, chunk_index int, token_count int, block_type string, source_name string, section_path array<string>, extra map<string,string>")
+    c = spark.createDataFrame([("c", "d", "u", "t", None, 2, 0, 5, "text", "s", ["7 Heat"], {"table_id": "t1", "zz": "1"}), ("c2", "d", "u", "t", "Own", 2, 0, 5, "text", "s", [], None)], "chunk_id string, doc_id string, user_id string, text string, lesson_title string, page int, chunk_index int, token_count int, block_type string, source_name string, section_path array<string>, extra map<string,string>")
     got = {r.chunk_id: r for r in C.payload(c).collect()}
-    assert (got["c"].lesson_title, got["c"].lesson_number, got["c"].extras) == ("Heat", 7, {"ocr": "true"}) and got["c2"].lesson_title == "Own" and got["c2"].extras == {}
+    assert (got["c"].lesson_title, got["c"].lesson_number, got["c"].extras) == ("Heat", 7, {"table_id": "t1"}) and got["c2"].lesson_title == "Own" and got["c2"].extras == {}
     old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
     new = C.latest(spark.createDataFrame([("b", 2, 1), ("b", 3, 2), ("c", 4, 1)], "k string, v int, seq int"), ["k"], ["seq"]).drop("seq")
     assert {(r.k, r.v) for r in C.upsert(old, new, ["k"]).collect()} == {("a", 1), ("b", 3), ("c", 4)}
