@@ -70,6 +70,11 @@ def payload_filter(filters: dict[str, list[str]] | None) -> tuple[Column, list[s
     return condition, applied
 
 
+def ignored(filters: dict[str, list[str]] | None, applied: list[str]) -> list[str]:
+    """Keys that were asked for and not applied, sorted."""
+    return sorted(set(filters or {}) - set(applied))
+
+
 def sanitised(filters: dict[str, list[str]] | None) -> dict[str, list[str]]:
     """A client's filters without the keys that only the engine sets, and without empty values."""
     clean = {k: [v for v in vs if v] for k, vs in (filters or {}).items() if k not in ("user_id", "doc_id")}

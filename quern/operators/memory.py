@@ -46,6 +46,26 @@ def put(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return both.select(*key, *[(version if c == "version" else F.when(F.col("__n").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(f"__s.{c}"))).alias(c) for c in rest])
 
 
+def alike(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` memories under the memory_id that they overwrite: their own where it is stored, else that of the first
+    stored one of the same user, kind and content_hash, else their own. Then ``put`` them by memory_id."""
+    own = stored.select("memory_id", F.lit(True).alias("__own"))
+    same = stored.groupBy("user_id", "kind", "content_hash").agg(F.min("memory_id").alias("__like"))
+    rows = new.join(own, "memory_id", "left").join(same, ["user_id", "kind", "content_hash"], "left")
+    return rows.withColumn("memory_id", F.when(F.col("__own"), F.col("memory_id")).otherwise(F.coalesce("__like", "memory_id"))).drop("__own", "__like")
+
+
+def facts(said: DataFrame) -> DataFrame:
+    """Facts (user_id, content) as memories to put, without a vector yet."""
+    return said.select("user_id", F.lit("semantic").alias("kind"), T.content_hash(F.col("content")).alias("content_hash"), F.col("content").alias("searchable_text"))
+
+
+def episodes(seen: DataFrame) -> DataFrame:
+    """Episodes (user_id, situation, action, outcome, lesson) as memories to put; the four parts are a line each."""
+    text = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in ("situation", "action", "outcome", "lesson")])
+    return seen.select("user_id", F.lit("episodic").alias("kind"), T.content_hash(text).alias("content_hash"), text.alias("searchable_text"))
+
+
 def merge_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
     """What becomes of each new rule (new_id, user_id, scope, instruction, embedding): ``memory_id`` of the rule it
     overwrites and its version, or null and 1. Among the eight nearest it is the first of the same scope whose

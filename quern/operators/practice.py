@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -71,6 +71,17 @@ def totals(answers: DataFrame, by: str) -> DataFrame:
     return answers.groupBy(by).agg(F.sum(F.coalesce("marks", F.lit(0))).alias("marks"), F.sum("max_marks").alias("max_marks")).withColumn("pct", F.when(F.col("max_marks") > 0, F.round(F.col("marks") * 100 / F.col("max_marks"), 2).cast("double")).otherwise(F.lit(0.0)))
 
 
+def saved(sets: DataFrame, questions: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``questions`` (set_id, seq, qtype, ...) of the ``sets`` (set_id, session_id, user_id) whose session is the
+    user's, with the set's user, their place from 1 in order of seq, and the kind of the first for all.
+
+    A set is one request to a model, so its questions are few. Those of a set of another's session aren't saved.
+    """
+    own = sets.join(sessions.select("session_id", "user_id").distinct(), ["session_id", "user_id"], "left_semi").select("set_id", "user_id")
+    order = Window.partitionBy("set_id").orderBy("seq")
+    return questions.join(own, "set_id").withColumn("position", F.row_number().over(order)).withColumn("qtype", F.first("qtype").over(order))
+
+
 def practice_view(sets: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions of each set with their answer, if any; the correct option is shown only once answered."""
     joined = sets.join(questions, "set_id").join(answers, "question_id", "left")

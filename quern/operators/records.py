@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
-TITLE_CHARS = 60
+TITLE_CHARS, PAGE, MOST_PAGE = 60, 30, 100
 
 
 def parse_cursor(text: str | None) -> datetime | None:
@@ -42,6 +42,17 @@ def keyset_pages(rows: DataFrame, by: str, at: str, key: str, limit: int) -> Dat
     return ranked.withColumn("more", F.max("place").over(Window.partitionBy(by)) > limit).where(F.col("place") <= limit)
 
 
+def message_page(messages: DataFrame, limit: int | None = None, cursor: tuple | None = None) -> DataFrame:
+    """The page of a session's ``messages`` (created_at, message_id) before ``cursor``, oldest first: 30 messages, or as
+    many as wanted within 1 and 100."""
+    return keyset_page(messages, "created_at", "message_id", PAGE if limit is None else max(1, min(MOST_PAGE, limit)), cursor, ascending=True)
+
+
+def newest_first(rows: DataFrame, at: str, key: str) -> DataFrame:
+    """All rows, the newest first, by key among equal times; sorted by ranges, so no task holds all."""
+    return rows.orderBy(F.desc(at), F.desc(key))
+
+
 def owned(rows: DataFrame, asked: DataFrame, key: str, user: str = "user_id") -> DataFrame:
     """Rows that exist and belong to the asking user; others are as if they didn't exist."""
     return rows.join(asked.select(key, user).distinct(), [key, user], "left_semi")
@@ -63,7 +74,22 @@ def open_sessions(sessions: DataFrame, asked: DataFrame) -> DataFrame:
     known = sessions.select("session_id", F.col("user_id").alias("owner"), F.col("title").alias("old_title"), F.col("doc_ids").alias("old_docs"))
     rows = asked.join(known, "session_id", "left")
     action = F.when(F.col("owner") == F.col("user_id"), "use").when(F.col("owner").isNotNull(), "not_found").otherwise("insert")
-    return rows.select("request_id", "session_id", "user_id", action.alias("action"), F.coalesce("old_title", F.left("message", F.lit(TITLE_CHARS))).alias("title"), F.coalesce("doc_ids", "old_docs").alias("doc_ids"))
+    seen = lambda c: F.when(action != "not_found", c)
+    return rows.select("request_id", "session_id", "user_id", action.alias("action"), seen(F.coalesce("old_title", F.left("message", F.lit(TITLE_CHARS)))).alias("title"), seen(F.coalesce("doc_ids", "old_docs")).alias("doc_ids"))
+
+
+def moved_on(sessions: DataFrame, turns: DataFrame) -> DataFrame:
+    """``sessions`` with last_message_at at their newest turn (session_id, user_id, at), never moved back. A turn of
+    another user moves nothing."""
+    newest = turns.groupBy("session_id", "user_id").agg(F.max("at").alias("__at"))
+    return sessions.join(newest, ["session_id", "user_id"], "left").withColumn("last_message_at", F.greatest("last_message_at", "__at")).drop("__at")
+
+
+def session_rows(sessions: DataFrame) -> DataFrame:
+    """Sessions as they are shown: ids and documents as text, no documents as an empty list, the time in ISO form."""
+    at = F.regexp_replace(F.date_format("last_message_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    docs = F.coalesce(F.col("doc_ids").cast("array<string>"), F.array().cast("array<string>"))
+    return sessions.select(F.col("session_id").cast("string").alias("session_id"), "title", docs.alias("doc_ids"), at.alias("last_message_at"))
 
 
 def turn_rows(turns: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries and their SQL: importing this registers all of the engine's own."""
 
-from quern.plans import records, retrieval, streams, texts
+from quern.plans import accounts, records, retrieval, streams, texts, uploads
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "records", "retrieval", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "accounts", "records", "retrieval", "streams", "texts", "uploads"]

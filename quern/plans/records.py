@@ -144,7 +144,13 @@ def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.put(side(0), side(1), ["user_id", "kind"])
 
 
-@query("rule_merge")
+@query(
+    "rule_merge",
+    f"""WITH {_MEM}, w AS (SELECT vec_id, label, v, string_split('always answer with an example and the page ' || vec_id % 5, ' ') AS words FROM m),
+    n AS (SELECT q.vec_id AS new_id, s.vec_id AS memory_id, q.words AS a, s.words AS b, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0, {sql_dot('q.v', 's.v')}), 6) DESC, s.vec_id) AS rank FROM w q JOIN w s ON q.label = s.label WHERE q.vec_id % 2 = 1 AND s.vec_id % 2 = 0),
+    b AS (SELECT new_id, arg_min(memory_id, rank) AS memory_id FROM n WHERE rank <= 8 AND len(list_intersect(a, b)) >= 0.6::DOUBLE * len(list_distinct(a || b)) GROUP BY new_id)
+    SELECT vec_id AS new_id, memory_id, CASE WHEN memory_id IS NULL THEN 1 ELSE 3 END AS version FROM embeddings LEFT JOIN b ON new_id = vec_id WHERE vec_id % 2 = 1""",
+)
 def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as rules of their label; the odd ones arrive, the even ones are stored."""
     v = table(spark, sf_dir, "embeddings")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.functions.text import NAMESPACE
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -49,5 +51,15 @@ def sql_dot(a: str, b: str) -> str:
     return f"list_dot_product({a}, {b})"
 
 
+def sql_estimate(text: str) -> str:
+    return f"CASE WHEN coalesce({text}, '') = '' THEN 0 ELSE greatest(1, CAST(trunc(len({sql_words(text)}) * 1.35::DOUBLE + length(regexp_replace({text}, '[\\x00-\\x7f]', '', 'g')) / 4.0::DOUBLE) AS INTEGER)) END"
+
+
+def sql_uuid5(name: str) -> str:
+    """Of a name that is a column or other cheap expression, as it is written four times."""
+    d = f"sha1(unhex('{NAMESPACE.hex}') || encode({name}))"
+    return f"({d}[1:8] || '-' || {d}[9:12] || '-5' || {d}[14:16] || '-' || lower(printf('%02x', (('0x' || {d}[17:18])::INTEGER & 63) | 128)) || {d}[19:20] || '-' || {d}[21:32])"
+
+
 def sql_unit(v: str) -> str:
     return f"list_transform({v}::DOUBLE[], lambda x: x / sqrt(list_dot_product({v}::DOUBLE[], {v}::DOUBLE[])))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import collection as C
 from quern.operators import search as S
-from quern.plans.registry import query, sql_dot, sql_tokens, sql_unit, table
+from quern.plans.registry import query, sql_dot, sql_estimate, sql_strip, sql_tokens, sql_unit, sql_uuid5, sql_words, table
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,15 +91,15 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAME_TITLE = "EXISTS (SELECT 1 FROM ow a, ow b WHERE a.chunk_id = query_id AND b.chunk_id = {rows}.chunk_id AND a.lang = b.lang)"
 
 
-@query(
-    "title_weighted_rrf",
-    f"""WITH {_BOTH}, {_fused('g', 90)},
+_WEIGHTED = f"""{_BOTH}, {_fused('g', 90)},
     st AS (SELECT x.* FROM ss x JOIN ow a ON a.chunk_id = x.query_id JOIN ow b ON b.chunk_id = x.chunk_id WHERE a.lang = b.lang),
     dt2 AS (SELECT x.* FROM ds x JOIN ow a ON a.chunk_id = x.query_id JOIN ow b ON b.chunk_id = x.chunk_id WHERE a.lang = b.lang),
     {_fused('t', 270).replace('FROM ss WHERE', 'FROM st WHERE').replace('FROM ds WHERE', 'FROM dt2 WHERE')},
     f AS (SELECT query_id, chunk_id, round(sum(p), 6) AS score FROM (SELECT query_id, chunk_id, 0.8::DOUBLE / (60 + rank) AS p FROM t WHERE rank <= 90 UNION ALL SELECT query_id, chunk_id, 0.2::DOUBLE / (60 + rank) AS p FROM g WHERE rank <= 30) GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f)
-    SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 30""", ints=("rank",))
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f)"""
+
+
+@query("title_weighted_rrf", f"WITH {_WEIGHTED} SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 30", ints=("rank",))
 def title_weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query within its own title (weight 0.8) and everywhere (0.2)."""
     chunks, asked = _combined(spark, sf_dir)
@@ -109,19 +109,36 @@ def title_weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.title_weighted(within, S.hybrid(chunks, asked, 30), 30)
 
 
-@query("search_hits")
+def _diverse(hits: str) -> str:
+    """CTEs that pass over the rows of ``hits`` by rank with those kept so far; the last is ``k``."""
+    alike = "len(list_filter(f.kept, lambda y: len(list_intersect(y, o.toks)) >= 0.8::DOUBLE * (len(y) + len(o.toks) - len(list_intersect(y, o.toks)))))"
+    return f"""tk AS (SELECT h.*, list_distinct({sql_tokens('d.text')}) AS toks FROM {hits} h JOIN documents d ON d.doc_id = h.chunk_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS n FROM tk WHERE len(toks) > 0),
+kf AS (SELECT DISTINCT query_id, 0::BIGINT AS n, NULL::BIGINT AS chunk_id, NULL::DOUBLE AS score, false AS keep, []::VARCHAR[][] AS kept FROM o UNION ALL
+SELECT query_id, n, chunk_id, score, keep, CASE WHEN keep THEN list_append(kept, toks) ELSE kept END FROM (SELECT o.*, f.kept, len(f.kept) < 10 AND {alike} = 0 AS keep FROM kf f JOIN o ON o.query_id = f.query_id AND o.n = f.n + 1)),
+k AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank FROM kf WHERE keep)"""
+
+
+_HITS = f"""{_WEIGHTED}, hits AS (SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 30 AND query_id % 200 = 0 UNION ALL SELECT query_id, chunk_id, score, rank FROM g WHERE rank <= 30 AND query_id % 200 <> 0), {_diverse('hits')}"""
+
+
+@query("search_hits", f"WITH RECURSIVE {_HITS} SELECT query_id, chunk_id, score, rank, lang AS title, 0 AS page, 'C-' || upper(sha256(chunk_id::VARCHAR)[1:10]) AS citation FROM k JOIN ow USING (chunk_id)", ints=("rank",))
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _combined(spark, sf_dir)
     return S.search(chunks, asked)[0].select("query_id", "chunk_id", "score", "rank", "title", "page", "citation")
 
 
-@query("search_status")
+@query(
+    "search_status",
+    f"""WITH RECURSIVE {_HITS}, n AS (SELECT query_id, count(*) AS hit_count, coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang), '') AS hit_titles FROM k JOIN ow USING (chunk_id) GROUP BY query_id), c AS (SELECT user_id, count(*) AS total FROM ow GROUP BY user_id)
+    SELECT a.chunk_id AS query_id, total AS total_user_chunks, false AS user_has_no_documents, coalesce(hit_count, 0) AS hit_count, CASE WHEN hit_count IS NULL THEN 'no_matches' END AS empty_reason, hit_titles FROM ow a JOIN c USING (user_id) LEFT JOIN n ON n.query_id = a.chunk_id WHERE a.chunk_id % 100 = 0""",
+)
 def search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _combined(spark, sf_dir)
     return S.search(chunks, asked)[1].select("query_id", "total_user_chunks", "user_has_no_documents", "hit_count", "empty_reason", F.array_join("hit_titles", ",").alias("hit_titles"))
 
 
-@query("diversify")
+@query("diversify", f"WITH RECURSIVE {_SPARSE}, hits AS (SELECT query_id, chunk_id, score, rank FROM sr WHERE rank <= 30), {_diverse('hits')} SELECT query_id, chunk_id, score, rank FROM k", ints=("rank",))
 def diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _shared(spark, sf_dir)
     hits = S.sparse_topk(chunks, _asked(spark, sf_dir), 30).join(chunks.select("chunk_id", "text"), "chunk_id")
@@ -174,7 +191,11 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest(events, ["key", "user_id"], ["event_id"])
 
 
-@query("payload_projection")
+@query(
+    "payload_projection",
+    f"""WITH c AS (SELECT *, {sql_uuid5("doc_id || ':1:text:0'")} AS chunk_id, 'Lesson' || coalesce(' ' || lang, '') AS lesson_title FROM documents WHERE {sql_strip("coalesce(text, '')")} <> '' AND len(list_filter({sql_words('text')}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) >= 8)
+    SELECT {sql_uuid5('chunk_id')} AS point_id, doc_id, lesson_title, (doc_id % 40)::INTEGER AS lesson_number, {sql_estimate('text')} AS token_count, 2 AS n_extras FROM c""",
+)
 def payload_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as rows of a collection, past the gate."""
     docs = table(spark, sf_dir, "documents")

@@ -27,14 +27,27 @@ def refresh_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiters.idle_reset(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 36_000, 172_800).select("event_id", F.col("nth").cast("bigint").alias("nth"), "allowed")
 
 
-@query("login_lockout")
+_ATTEMPTS = "e AS (SELECT event_id, user_id, epoch_us(ts) AS t, coalesce(event_type = 'signup', false) AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
+
+
+@query(
+    "login_lockout",
+    f"""WITH RECURSIVE {_ATTEMPTS}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0 AS failed, 0::BIGINT AS until, false AS locked FROM e UNION ALL
+    SELECT user_id, n, event_id, CASE WHEN c >= 2 THEN c WHEN ok THEN 0 ELSE c + 1 END, CASE WHEN c >= 2 OR ok THEN until ELSE t + 259200000000 END, c >= 2
+    FROM (SELECT e.*, f.until, CASE WHEN e.t >= f.until THEN 0 ELSE f.failed END AS c FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)) SELECT user_id, event_id, locked FROM f WHERE n > 0""",
+)
 def login_lockout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``signup`` succeeds, everything else fails; two failures lock for three days."""
     events = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") == "signup")
     return limiters.lockout(events, "user_id", "ts", "event_id", "ok", 2, 3 * 86_400)
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    f"""WITH RECURSIVE {_ATTEMPTS}, f AS (SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0 AS failed, 0::BIGINT AS since, '' AS state FROM e UNION ALL
+    SELECT user_id, n, event_id, CASE WHEN s = 'open' THEN failed WHEN ok THEN 0 ELSE failed + 1 END, CASE WHEN s = 'open' THEN since WHEN ok THEN 0 ELSE t END, s
+    FROM (SELECT e.*, f.failed, f.since, CASE WHEN f.failed < 3 THEN 'closed' WHEN e.t - f.since < 86400000000 THEN 'open' ELSE 'half_open' END AS s FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)) SELECT user_id, event_id, state FROM f WHERE n > 0""",
+)
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ok", F.col("event_type") == "signup")
     return limiters.breaker(events, "user_id", "ts", "event_id", "ok", 3, 86_400)

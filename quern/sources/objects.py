@@ -21,6 +21,11 @@ def source_key(user: Column, doc: Column) -> Column:
     return F.concat_ws("/", user, doc, F.lit("source.pdf"))
 
 
+def image_key(user: Column, doc: Column, image: Column, extension: Column) -> Column:
+    """The extension may begin with dots."""
+    return F.concat_ws("/", user, doc, F.lit("images"), F.concat_ws(".", image, F.ltrim(extension, F.lit("."))))
+
+
 def table_key(user: Column, doc: Column, table: Column) -> Column:
     return F.concat_ws("/", user, doc, F.lit("tables"), F.concat(table.cast("string"), F.lit(".json")))
 
