@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions.hashing import bucket
+from quern.functions.hashing import BUCKETS, bucket
 from quern.operators import chunking, encoding
 from quern.operators.collection import gate
 from quern.plans.registry import SPACE, query, sql_strip, sql_tokens, sql_words, table
@@ -50,13 +50,37 @@ def doc_freq_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n_with.crossJoin(n_docs).select("term", "n_with", F.round(encoding.idf(F.col("n_docs"), F.col("n_with")), 6).alias("idf"))
 
 
-@query("sparse_vectors")
+def _murmur(terms: str) -> str:
+    """CTEs that end in ``bk`` (term, bucket): MurmurHash3 of the terms of a table by whole numbers of 64 bits."""
+    u = lambda x: f"{x}::UBIGINT"
+    rotl = lambda x, r: f"(((({x}) << {r}) | (({x}) >> {32 - r})) & {u(0xFFFFFFFF)})"
+    low = lambda x: f"(({x}) % {u(1 << 32)})"
+    byte = lambda i: f"p[8 * k + {2 * i + 1}:8 * k + {2 * i + 2}]"
+    block = f"('0x' || {byte(3)} || {byte(2)} || {byte(1)} || {byte(0)})::UBIGINT"
+    shifted = lambda r: f"xor(h, h >> {r})"
+    return f"""m0 AS (SELECT term, octet_length(encode(term)) AS n, rpad(hex(encode(term)), ((octet_length(encode(term)) + 3) // 4 * 8)::INTEGER, '0') AS p FROM (SELECT DISTINCT term FROM {terms})),
+    m1 AS (SELECT term, n, list_transform(range(0, (n + 3) // 4), lambda k: {low(f"{block} * {u(0xCC9E2D51)}")}) AS b FROM m0),
+    m2 AS (SELECT term, n, list_transform(b, lambda x: {low(f"{rotl('x', 15)} * {u(0x1B873593)}")}) AS b FROM m1),
+    m3 AS (SELECT term, n, list_reduce(list_prepend({u(0)}, b[1:n // 4]), lambda h, x: {low(f"{rotl('xor(h, x)', 13)} * {u(5)} + {u(0xE6546B64)}")}) AS h, CASE WHEN n % 4 > 0 THEN b[n // 4 + 1] ELSE {u(0)} END AS tail FROM m2),
+    m4 AS (SELECT term, xor(xor(h, tail), n::UBIGINT) AS h FROM m3), m5 AS (SELECT term, {low(f"{shifted(16)} * {u(0x85EBCA6B)}")} AS h FROM m4), m6 AS (SELECT term, {low(f"{shifted(13)} * {u(0xC2B2AE35)}")} AS h FROM m5),
+    bk AS (SELECT term, ({shifted(16)} % {BUCKETS})::INTEGER AS bucket FROM m6)"""
+
+
+@query(
+    "sparse_vectors",
+    f"""WITH t AS (SELECT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark), {_murmur('t')}
+    SELECT item_id, bucket, round(count(*) * 2.2::DOUBLE / (count(*) + 1.2::DOUBLE), 6) AS value FROM t JOIN bk USING (term) GROUP BY ALL""",
+)
 def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoding.sparse_vectors(table(spark, sf_dir, "benchmark"), "item_id")
     return found.select("item_id", "bucket", F.round("value", 6).alias("value"))
 
 
-@query("token_buckets")
+@query(
+    "token_buckets",
+    f"""WITH t AS (SELECT unnest({sql_tokens('text')}) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM t GROUP BY term), {_murmur('c')}
+    SELECT bucket, count(*) AS terms, sum(n)::BIGINT AS tokens FROM c JOIN bk USING (term) GROUP BY bucket""",
+)
 def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     terms = docs.select(F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
