@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters over their whole tables, and their SQL."""
+"""The queries of the operators, with production parameters over their whole tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -88,5 +88,11 @@ def op7_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_classes(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.periodic_runs import run_table
+
+    return run_table(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan, op11_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {"op7_vector_duplicates": oracles.vector_classes(), "op10_licence_scan": oracles.licence_scan()}
