@@ -94,5 +94,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_table(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan, op11_periodic_runs)}
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.interpolation import score_table
+
+    return score_table(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan, op11_periodic_runs, op12_interpolation)}
 ORACLE_SQL: dict[str, str] = {"op7_vector_duplicates": oracles.vector_classes(), "op10_licence_scan": oracles.licence_scan()}
