@@ -42,6 +42,7 @@ END = b" "
 
 _FAR = 1 << 12  # more than any cell's number
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 @dataclass
@@ -75,12 +76,27 @@ class Block:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """64-bit numbers as eight rows of bytes, which compress well where numbers are small."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit numbers as eight rows of bytes, compressed, which is short where numbers are small. Their number comes first."""
+    rows = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + _ZSTD.compress(rows.tobytes(), asbytes=True)
 
 
 def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    n = int.from_bytes(data[:8], "little")
+    rows = _ZSTD.decompress(data[8:], decompressed_size=8 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(rows, dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def packed(rows: pa.RecordBatch) -> bytes:
+    """Rows as a compressed stream, so that texts take little room while they are moved."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(column: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
 
 
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -90,9 +106,10 @@ def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """``docs`` (id, part, text) with the number of a block: texts of one task and part, about ``size`` bytes together.
+    """``docs`` (id, part, text) in blocks: texts of one task and part, about ``size`` bytes together.
 
-    Numbers follow the order of rows in a task, which is the same when the task is run again over a table.
+    A row (block, part, rows) holds the texts of a block that came in one batch. Numbers of blocks follow the order of rows in
+    a task, which is the same when the task is run again over a table.
     """
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +123,13 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
                     made += 1
                 current[part][1] += n + 1
                 out.append(task + current[part][0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.int64())], names=["id", "part", "text", "block"])
+            numbers, at = np.array(out, dtype=np.int64), batch.column(1)
+            for block in dict.fromkeys(out):
+                mine = np.flatnonzero(numbers == block)
+                held = pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(mine)) for k in (0, 2)], names=["id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), at.slice(int(mine[0]), 1), pa.array([packed(held)], pa.binary())], names=["block", "part", "rows"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "part", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).mapInArrow(number, f"id {kind}, part int, text string, block bigint")
+    return docs.select("id", "part", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).mapInArrow(number, "block bigint, part int, rows binary")
 
 
 def asked(parts: DataFrame, bits: tuple[int, int]) -> DataFrame:
@@ -117,7 +137,7 @@ def asked(parts: DataFrame, bits: tuple[int, int]) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         block, part = table["block"][0].as_py(), table["part"][0].as_py()
-        b = Block.of(table["text"].to_pylist())
+        b = Block.of(unpacked(table["rows"])["text"].to_pylist())
         rows = []
         for n, keys, at in ((1, b.words, b.word), (2, b.pairs, b.pair)):
             counts = np.bincount(at, minlength=len(keys)) if part >= 0 else np.zeros(len(keys), dtype=np.int64)
@@ -240,8 +260,8 @@ def counted(docs: DataFrame) -> DataFrame:
     arrow = pa.schema([("id", pa.from_numpy_dtype(np.int64) if kind == "bigint" else pa.string()), ("part", pa.int32()), ("word", pa.binary()), ("pair", pa.binary()), ("cell", pa.list_(pa.int64())), ("held", pa.list_(pa.int64())), ("tokens", pa.int64()), ("kinds", pa.int64())])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, part = left["id"].to_pylist(), left["part"][0].as_py()
-        b = Block.of(left["text"].to_pylist())
+        texts, part = unpacked(left["rows"]), left["part"][0].as_py()
+        ids, b = texts["id"].to_pylist(), Block.of(texts["text"].to_pylist())
         order = sorted(zip(right["n"].to_pylist(), right["range"].to_pylist(), range(right.num_rows), strict=True))
         total, own = {}, {}
         for n, keys in ((1, b.words), (2, b.pairs)):
@@ -257,7 +277,7 @@ def counted(docs: DataFrame) -> DataFrame:
         rows.append((None, part, None, None, code.tolist(), held.tolist(), int(b.lengths.sum()) if part >= 0 else 0, sum(right["kinds"].to_pylist())))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return materialise(parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, f"id {kind}, part int, word binary, pair binary, cell array<bigint>, held array<bigint>, tokens bigint, kinds bigint"), "word-counts", compression="zstd")
+    return materialise(parts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join, f"id {kind}, part int, word binary, pair binary, cell array<bigint>, held array<bigint>, tokens bigint, kinds bigint"), "word-counts")
 
 
 def mixture(table: DataFrame) -> Mixture:
