@@ -100,5 +100,11 @@ def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_table(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan, op11_periodic_runs, op12_interpolation)}
-ORACLE_SQL: dict[str, str] = {"op7_vector_duplicates": oracles.vector_classes(), "op10_licence_scan": oracles.licence_scan()}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.hard_negatives import negative_table
+
+    return negative_table(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontamination, op2_quality, op3_language_id, op4_html_text, op5_token_store, op6_near_duplicates, op7_vector_duplicates, op8_secret_scan, op9_byte_bpe, op10_licence_scan, op11_periodic_runs, op12_interpolation, op13_hard_negatives)}
+ORACLE_SQL: dict[str, str] = {"op7_vector_duplicates": oracles.vector_classes(), "op10_licence_scan": oracles.licence_scan(), "op13_hard_negatives": oracles.hard_negatives()}
