@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Bytes of an upload, and of a document, at most.
 UPLOAD_BYTES, DOCUMENT_BYTES, NAME_CHARS = 100 * 1024 * 1024, 200 * 1024 * 1024, 255
 
+# Parts of keys.
+SOURCE, IMAGES, TABLES, METADATA, ASSETS = "source.pdf", "images", "tables", "metadata.json", "assets"
 # Suffixes for documents whose name has none.
 SUFFIXES = {"application/pdf": ".pdf", "application/json": ".json", "text/plain": ".txt", "text/html": ".html", "image/png": ".png", "image/jpeg": ".jpg"}
 
@@ -18,24 +20,24 @@ def safe_key(key: Column) -> Column:
 
 
 def source_key(user: Column, doc: Column) -> Column:
-    return F.concat_ws("/", user, doc, F.lit("source.pdf"))
+    return F.concat_ws("/", user, doc, F.lit(SOURCE))
 
 
 def image_key(user: Column, doc: Column, image: Column, extension: Column) -> Column:
     """The extension may begin with dots."""
-    return F.concat_ws("/", user, doc, F.lit("images"), F.concat_ws(".", image, F.ltrim(extension, F.lit("."))))
+    return F.concat_ws("/", user, doc, F.lit(IMAGES), F.concat_ws(".", image, F.ltrim(extension, F.lit("."))))
 
 
 def table_key(user: Column, doc: Column, table: Column) -> Column:
-    return F.concat_ws("/", user, doc, F.lit("tables"), F.concat(table.cast("string"), F.lit(".json")))
+    return F.concat_ws("/", user, doc, F.lit(TABLES), F.concat(table.cast("string"), F.lit(".json")))
 
 
 def metadata_key(user: Column, doc: Column) -> Column:
-    return F.concat_ws("/", user, doc, F.lit("metadata.json"))
+    return F.concat_ws("/", user, doc, F.lit(METADATA))
 
 
 def asset_key(user: Column, doc: Column, digest: Column, extension: Column) -> Column:
-    return F.concat_ws("/", user, doc, F.lit("assets"), F.concat_ws(".", digest, extension))
+    return F.concat_ws("/", user, doc, F.lit(ASSETS), F.concat_ws(".", digest, extension))
 
 
 def suffix(name: Column, mime: Column) -> Column:
