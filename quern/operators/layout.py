@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 
+#: Bits by which pages are grouped to carry a title from page to page.
+CARRY = (10, 21)
 TITLE_RATIO, TITLE_CHARS, MERGE_GAP, SAME_SIZE, TITLE_SLACK = 1.60, 120, 1.8, 0.6, 2.0
 MIN_WIDTH, MIN_HEIGHT, MIN_AREA, MOST_IMAGES, LEAST_CHARS = 120, 120, 0.02, 8, 80
 
@@ -62,13 +64,39 @@ def outside_tables(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     return lines.join(by_page, ["doc_id", "page"], "left").where(F.col("is_title") | ~F.coalesce(inside, F.lit(False))).drop("__boxes")
 
 
+def carried(marks: DataFrame, key: str, at: str, value: str, shifts: tuple[int, ...] = CARRY) -> DataFrame:
+    """(key, at, value) of ``marks``, one for each key and whole number ``at``: the last value before, null without one.
+
+    Numbers are taken in groups of those that share their higher bits: values are carried within a group, and the last
+    value of each group is carried over to the next in the same way. No window has more than some thousand rows,
+    however many numbers a key has.
+    """
+    group = f"__group{len(shifts)}"  # each level has a column of its own
+    rows = marks.withColumn(group, F.shiftright(at, shifts[0]) if shifts else F.lit(0))
+    within = F.last(value, ignorenulls=True).over(Window.partitionBy(key, group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    own = rows.select(key, at, group, within.alias("__own"))
+    if not shifts:
+        return own.select(key, at, F.col("__own").alias(value))
+    last = rows.groupBy(key, group).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at))).alias(value))
+    above = carried(last, key, group, value, tuple(s - shifts[0] for s in shifts[1:])).select(F.col(key).alias("__key"), F.col(group).alias("__above"), F.col(value).alias("__value"))
+    both = own.join(above, F.col(key).eqNullSafe(F.col("__key")) & (F.col(group) == F.col("__above")))
+    return both.select(key, at, F.coalesce("__own", "__value").alias(value))
+
+
 def with_sections(lines: DataFrame) -> DataFrame:
     """``lines`` with section: the last title that begins no more than a little below the line, on its page or an
-    earlier one; null before the first title. An as-of join as one running window over a document's lines."""
+    earlier one; null before the first title. An as-of join of two parts: a running window over the lines of a page,
+    and the last title of earlier pages carried from page to page. A null page comes before the others."""
     at = F.when(F.col("is_title"), F.array(F.struct(F.col("y0").alias("at"), F.lit(0).alias("asks")), F.struct((F.col("y0") + TITLE_SLACK).alias("at"), F.lit(1).alias("asks")))).otherwise(F.array(F.struct((F.col("y0") + TITLE_SLACK).alias("at"), F.lit(1).alias("asks"))))
+    lines = lines.withColumn("__page", F.coalesce(F.col("page").cast("int"), F.lit(-(1 << 31))))
     rows = lines.withColumn("__e", F.explode(at)).withColumn("__title", F.when(F.col("__e.asks") == 0, T.strip(F.col("text"))))
-    order = Window.partitionBy("doc_id").orderBy("page", "__e.at", "__e.asks", F.when(F.col("__e.asks") == 0, F.col("text")), "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("section", F.last("__title", ignorenulls=True).over(order)).where("__e.asks = 1").drop("__e", "__title")
+    order = Window.partitionBy("doc_id", "__page").orderBy("__e.at", "__e.asks", F.when(F.col("__e.asks") == 0, F.col("text")), "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", F.last("__title", ignorenulls=True).over(order)).where("__e.asks = 1")
+    title = F.when(F.col("is_title"), F.struct("y0", "text", "line_no"))
+    pages = lines.groupBy("doc_id", "__page").agg(F.max_by(T.strip(F.col("text")), title).alias("__last"))
+    before = carried(pages, "doc_id", "__page", "__last").select(F.col("doc_id").alias("__doc"), F.col("__page").alias("__at"), "__last")
+    out = rows.join(before, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__page") == F.col("__at")))
+    return out.withColumn("section", F.coalesce("__own", "__last")).drop("__e", "__title", "__own", "__last", "__doc", "__at", "__page")
 
 
 def line_blocks(lines: DataFrame) -> DataFrame:

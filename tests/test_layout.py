@@ -28,6 +28,20 @@ def test_titles_and_sections(lines):
     assert blocks[1][1].block_type == "heading" and blocks[1][1].section_path == ["Heat and Work"] and blocks[1][0].section_path == []
 
 
+def test_titles_are_carried_over_many_pages(spark):
+    pages = [-5, 0, 1, 1023, 1024, 1025, 5000, 2**21 - 1, 2**21, 2**21 + 3, 2**25, 2**31 - 1]
+    for titled_pages in ([], [0], [-5, 1024], [1, 5000, 2**21], [1023, 2**21 - 1, 2**25]):
+        marks = spark.createDataFrame([(d, p, f"{d}{p}" if p in titled_pages else None) for d in ("a", None) for p in pages], "doc string, page int, title string")
+        got = {(r.doc, r.page): r.title for r in L.carried(marks, "doc", "page", "title").collect()}
+        assert got == {(d, p): next((f"{d}{q}" for q in reversed(pages) if q < p and q in titled_pages), None) for d in ("a", None) for p in pages}
+        assert got == {(r.doc, r.page): r.title for r in L.carried(marks, "doc", "page", "title", (2, 4, 9)).collect()}
+
+
+def test_null_documents_and_pages(spark):
+    null_page = spark.createDataFrame([(None, None, 1, "Early", 20.0, 0.0, 0.0, 1.0, 9.0, True), (None, 1, 1, "body.", 10.0, 0.0, 0.0, 1.0, 9.0, False)], "doc_id string, page int, line_no int, text string, size double, x0 double, y0 double, x1 double, y1 double, is_title boolean")
+    assert {r.page: r.section for r in L.with_sections(null_page).collect()} == {None: "Early", 1: "Early"}
+
+
 @pytest.mark.parametrize(("text", "size", "want"), [("Heat", 16.0, True), ("Heat", 15.99, False), ("Heat.", 20.0, False), ("H", 20.0, False), ("12.3", 20.0, False), ("x" * 120, 20.0, True), ("x" * 121, 20.0, False), ("  ", 20.0, False), ("Heat”", 20.0, False), (None, 20.0, False)])
 def test_title_rule(spark, text, size, want):
     row = spark.createDataFrame([(text, size)], "t string, s double")
