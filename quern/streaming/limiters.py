@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Requests and seconds of the gateway's limit, calls a minute of the captioner, failures and seconds of a lockout.
-REQUESTS, REQUEST_WINDOW, CALLS, FAILURES, LOCKOUT = 60, 60, 10, 10, 15 * 60
+from quern.streaming.folds import SLICE, Breaker, Lockout, MinuteGuard, folded
+
+#: Requests and seconds of the gateway's limit, calls a minute and seconds of the captioner's circuit, failures and
+#: seconds of a lockout.
+REQUESTS, REQUEST_WINDOW, CALLS, CIRCUIT, FAILURES, LOCKOUT = 60, 60, 10, 90, 10, 15 * 60
 
 
 def micros(at: Column) -> Column:
@@ -50,45 +50,15 @@ def idle_reset(hits: DataFrame, key: str, at: str, tie: str, most: int = REQUEST
     return out.withColumn("allowed", F.col("nth") <= most).drop("__t", "__s", "__idle", "__run", "__nth", "__key", "__slice", "__carried")
 
 
-class Lock:
-    """Failures of one account. A failure recorded refreshes the window; an attempt while locked isn't recorded."""
-
-    def __init__(self, count: int = 0, until: int = 0):
-        self.count, self.until = count, until
-
-    def attempt(self, at: int, success: bool, most: int, micros: int) -> bool:
-        """Whether the attempt met a lock."""
-        if at >= self.until:
-            self.count = 0
-        if self.count >= most:
-            return True
-        if success:
-            self.count = 0
-        else:
-            self.count, self.until = self.count + 1, at + micros
-        return False
-
-
-def lockout(attempts: DataFrame, key: str, at: str, tie: str, success: str, most: int = FAILURES, seconds: int = LOCKOUT) -> DataFrame:
-    """(key, tie, locked) of each attempt. Whether an attempt counts depends on those before it, so it is a fold.
+def lockout(attempts: DataFrame, key: str, at: str, tie: str, success: str, most: int = FAILURES, seconds: int = LOCKOUT, slice_rows: int = SLICE) -> DataFrame:
+    """(key, tie, locked) of each attempt: ``most`` failures lock, each that counts for ``seconds`` anew.
 
-    Attempts are dealt by key and sorted in each task; the fold passes over the sorted rows a batch at a time with
-    the state of one key, so memory is bounded however many attempts a key has.
+    Whether an attempt counts depends on those before it; the fold is cut into slices whose state transitions are
+    composed, so that an account with a third of all attempts is spread over tasks. A null success is a failure;
+    attempts without a key or time are left out.
     """
-    rows = attempts.select(F.col(key).alias("k"), micros(F.col(at)).alias("t"), F.col(tie).alias("i"), F.col(success).alias("s")).where("k is not null and t is not null")
-    schema = f"{key} {dict(attempts.dtypes)[key]}, {tie} {dict(attempts.dtypes)[tie]}, locked boolean"
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lock = None, Lock()
-        for batch in batches:
-            out = []
-            for k, t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if k != last:
-                    last, lock = k, Lock()
-                out.append(lock.attempt(t, bool(s), most, seconds * 1_000_000))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], names=[key, tie, "locked"])
-
-    return rows.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(fold, schema)
+    said = folded(attempts, key, micros(F.col(at)), tie, success, Lockout(most, seconds * 1_000_000), slice_rows)
+    return said.select(key, tie, (F.col("label") == "locked").alias("locked"))
 
 
 def lockout_stream(attempts: DataFrame, key: str, at: str, success: str, most: int = FAILURES, seconds: int = LOCKOUT) -> DataFrame:
@@ -101,34 +71,29 @@ def lockout_stream(attempts: DataFrame, key: str, at: str, success: str, most: i
         if state.hasTimedOut:
             state.remove()
             return
-        lock = Lock(*state.get) if state.exists else Lock()
+        rule, now, locked = Lockout(most, seconds * 1_000_000), state.get if state.exists else (0, 0), 0
         rows = pd.concat(list(frames)).sort_values("t")
-        locked = [lock.attempt(int(t), bool(s), most, seconds * 1_000_000) for t, s in zip(rows["t"], rows["s"], strict=True)]
-        state.update((lock.count, lock.until))
-        state.setTimeoutTimestamp(max(lock.until // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({key: [k[0]], "attempts": [len(locked)], "locked": [sum(locked)], "failures": [lock.count]})
+        for t, s in zip(rows["t"], rows["s"], strict=True):
+            now, said = rule.step(now, int(t), bool(s))
+            locked += said == "locked"
+        state.update(now)
+        state.setTimeoutTimestamp(max(now[1] // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [k[0]], "attempts": [len(rows)], "locked": [locked], "failures": [now[0]]})
 
     rows = attempts.select(F.col(key), micros(F.col(at)).alias("t"), F.col(at).cast("timestamp").alias("at"), F.col(success).alias("s")).withWatermark("at", f"{seconds} seconds")
     return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {dict(attempts.dtypes)[key]}, attempts bigint, locked bigint, failures bigint", "count int, until bigint", "append", "EventTimeTimeout")
 
 
-def breaker(calls: DataFrame, key: str, at: str, tie: str, ok: str, failures: int = 5, seconds: int = 30) -> DataFrame:
+def breaker(calls: DataFrame, key: str, at: str, tie: str, ok: str, failures: int = 5, seconds: int = 30, slice_rows: int = SLICE) -> DataFrame:
     """(key, tie, state) before each call: ``open`` for ``seconds`` after so many failures in a row, then ``half_open``
     for one call, whose outcome opens or closes it again. Calls met while open aren't made and don't count."""
-    rows = calls.select(F.col(key).alias("k"), micros(F.col(at)).alias("t"), F.col(tie).alias("i"), F.col(ok).alias("s")).where("k is not null and t is not null")
-    schema = f"{key} {dict(calls.dtypes)[key]}, {tie} {dict(calls.dtypes)[tie]}, state string"
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, failed, since = None, 0, 0
-        for batch in batches:
-            out = []
-            for k, t, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if k != last:
-                    last, failed, since = k, 0, 0
-                state = "closed" if failed < failures else "open" if t - since < seconds * 1_000_000 else "half_open"
-                out.append(state)
-                if state != "open":
-                    failed, since = (0, 0) if s else (failed + 1, t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], names=[key, tie, "state"])
-
-    return rows.repartition("k").sortWithinPartitions("k", "t", "i").mapInArrow(fold, schema)
+    return folded(calls, key, micros(F.col(at)), tie, ok, Breaker(failures, seconds * 1_000_000), slice_rows).withColumnRenamed("label", "state")
+
+
+def minute_guard(calls: DataFrame, key: str, at: str, tie: str, ok: str, most: int = CALLS, seconds: int = CIRCUIT, slice_rows: int = SLICE) -> DataFrame:
+    """(key, tie, decision) of each call: ``allowed``, ``over`` the minute's limit, or denied as the circuit is ``open``.
+
+    The first ``most`` calls of a clock minute are made, those over it count as well. A call that is made and isn't ok
+    (the service said that it is asked too often) opens the circuit for ``seconds``; what it denies doesn't count.
+    """
+    return folded(calls, key, micros(F.col(at)), tie, ok, MinuteGuard(most, seconds * 1_000_000), slice_rows).withColumnRenamed("label", "decision")
