@@ -14,18 +14,22 @@ from quern.schemas import CHUNK, UPLOAD_EVENT
 from quern.sources.objects import safe_key
 
 
-def _text(value: Column) -> Column:
+def utf8(value: Column) -> Column:
     """Bytes as UTF-8; null where they aren't."""
     return F.try_validate_utf8(value.cast("string"))
 
 
+def json_object(value: Column) -> Column:
+    """Whether bytes are a JSON object."""
+    return F.coalesce(F.ltrim(utf8(value)).startswith("{") & F.try_parse_json(utf8(value)).isNotNull(), F.lit(False))
+
+
 def decode_uploads(messages: DataFrame, value: str = "value") -> DataFrame:
     """``messages`` with ``event`` (fields of an upload; job_id falls back to doc_id) and ``reject_reason``."""
-    e = F.from_json(_text(F.col(value)), UPLOAD_EVENT)
+    e = F.from_json(utf8(F.col(value)), UPLOAD_EVENT)
     rows = messages.withColumn("event", e)
     has = lambda c: F.coalesce(F.col(f"event.{c}") != "", F.lit(False))
-    is_object = F.coalesce(F.ltrim(_text(F.col(value))).startswith("{") & F.try_parse_json(_text(F.col(value))).isNotNull(), F.lit(False))
-    reason = F.when(~is_object, "decode:json")
+    reason = F.when(~json_object(F.col(value)), "decode:json")
     for c in ("doc_id", "user_id", "source_name", "storage_key"):
         reason = reason.when(~has(c), f"decode:{c}")
     reason = reason.when(~safe_key(F.col("event.storage_key")), "decode:storage_key").when(F.col("event.size_bytes") < 0, "decode:size_bytes")
@@ -40,7 +44,7 @@ def decode_chunks(messages: DataFrame, value: str = "value") -> DataFrame:
     its own. A chunk without embed_text takes its text; one without an id, document or user is rejected.
     """
     fields = [f.split(" ")[0] for f in CHUNK.split(", ")]
-    text = _text(F.col(value))
+    text = utf8(F.col(value))
     flat, nested = F.from_json(text, CHUNK), F.from_json(text, f"chunk struct<{', '.join(f.replace(' ', ':', 1) for f in CHUNK.split(', '))}>")["chunk"]
     rows = messages.withColumn("chunk", F.coalesce(nested, flat))
     kinds = dict(f.split(" ", 1) for f in CHUNK.split(", "))
@@ -50,9 +54,8 @@ def decode_chunks(messages: DataFrame, value: str = "value") -> DataFrame:
             return F.col(f"chunk.{name}")
         return F.coalesce(F.try_element_at(F.col("chunk.extra"), F.lit(name)).try_cast(kinds[name]), F.col(f"chunk.{name}")).alias(name)
 
-    is_object = F.coalesce(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.lit(False))
     rows = rows.withColumn("chunk", F.struct(*[merged(f) for f in fields]))
-    reason = F.when(~is_object, "decode:json")
+    reason = F.when(~json_object(F.col(value)), "decode:json")
     for c in ("chunk_id", "doc_id", "user_id"):
         reason = reason.when(F.coalesce(F.col(f"chunk.{c}"), F.lit("")) == "", f"decode:{c}")
     filled = F.col("chunk").withField("embed_text", F.coalesce(blank_to_null(F.col("chunk.embed_text")), F.col("chunk.text"))).withField("text", F.coalesce("chunk.text", F.lit(""))).withField("block_type", F.coalesce("chunk.block_type", F.lit("text")))
