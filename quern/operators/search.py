@@ -6,15 +6,20 @@ among its keys, so no query meets another user's rows. Ranks have a total order:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators.encoding import idf, saturated, term_counts
+from quern.operators.encoding import idf, saturated, small, term_counts
+from quern.sources.tables import stored
 
 RRF_K, OVERSAMPLING, LIMIT = 60, 3.0, 10
 TITLE_WEIGHT, GLOBAL_WEIGHT, TITLE_CONFIDENCE, SIMILAR = 0.8, 0.2, 0.75, 0.8
+#: Rows of queries (vectors, or terms) up to which they are broadcast.
+FEW = 20_000
 
 
 def fetch_size(limit: int, oversampling: float = OVERSAMPLING) -> int:
@@ -32,37 +37,63 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", by: str = "query_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_topk(chunks: DataFrame, queries: DataFrame, k: int, statistics: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Prepared:
+    """What searches of some queries need of a collection, made once: ``postings`` (chunk_id, user_id, term, n) of the
+    queries' terms, ``weights`` (term, idf), and ``vectors`` (chunk_id, user_id, v) of unit length."""
+
+    postings: DataFrame
+    weights: DataFrame
+    vectors: DataFrame | None
+
+
+def prepare(chunks: DataFrame, queries: DataFrame, statistics: DataFrame | None = None) -> Prepared:
+    """The collection is tokenised once and only terms of ``queries`` are kept; IDF counts ``statistics`` (by default
+    ``chunks``). All parts are stored tables, so that every leg of a search reads them."""
+    vocabulary = term_counts(queries, "query_id", "user_id").select("term").distinct()
+    everything = chunks if statistics is None else statistics
+    counted = stored(term_counts(everything, "chunk_id", "user_id", vocabulary=vocabulary), "postings")
+    n_docs = F.broadcast(everything.agg(F.count("*").alias("n_docs")))  # one row
+    weights = stored(counted.groupBy("term").agg(F.count("*").alias("n_with")).crossJoin(n_docs).select("term", idf(F.col("n_docs"), F.col("n_with")).alias("idf")), "weights")
+    postings = counted if statistics is None else counted.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    vectors = stored(chunks.select("chunk_id", "user_id", V.unit(F.col("embedding")).alias("v")).where("v is not null"), "vectors") if "embedding" in chunks.columns else None
+    return Prepared(postings, weights, vectors)
+
+
+def asked_terms(queries: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, user_id, term, weight): a query's terms by saturated count times IDF."""
+    return term_counts(queries, "query_id", "user_id").join(weights, "term").select("query_id", "user_id", "term", (saturated(F.col("n")) * F.col("idf")).alias("weight"))
+
+
+def ranked_postings(postings: DataFrame, asked: DataFrame, k: int, owners: DataFrame | None = None) -> DataFrame:
+    """The best ``k`` chunks of each query by the sum over its terms."""
+    owned = postings if owners is None else postings.drop("user_id").join(owners, "chunk_id")
+    scored = owned.join(small(asked, FEW), ["term", "user_id"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(saturated(F.col("n")) * F.col("weight")), 6).alias("score"))
+    return top(scored, k)
+
+
+def sparse_topk(chunks: DataFrame, queries: DataFrame, k: int, statistics: DataFrame | None = None, owners: DataFrame | None = None, prepared: Prepared | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by saturated counts of query and chunk times IDF.
 
     ``chunks``: chunk_id, user_id, text; ``queries``: query_id, user_id, text. IDF counts ``statistics`` (all chunks,
     whoever owns them). Only tokens of the queries are exploded further, so what moves is their postings. A query
     without a token finds nothing. ``owners`` (chunk_id, user_id) says who sees a chunk, if not its own column.
     """
-    wanted = term_counts(queries, "query_id", "user_id")
-    vocabulary = wanted.select("term").distinct()
-    everything = chunks if statistics is None else statistics
-    postings = term_counts(chunks, "chunk_id", "user_id", vocabulary=vocabulary)
-    counted = postings if statistics is None else term_counts(statistics, "chunk_id", "user_id", vocabulary=vocabulary)
-    # Each posting adds one; said by its count, so that Spark sees the same postings twice and makes them once.
-    with_term = counted.groupBy("term").agg(F.sum(F.least(F.col("n"), F.lit(1))).alias("n_with"))
-    weights = with_term.crossJoin(F.broadcast(everything.agg(F.count("*").alias("n_docs")))).select("term", idf(F.col("n_docs"), F.col("n_with")).alias("idf"))  # one row
-    asked = wanted.join(weights, "term").select("query_id", "user_id", "term", (saturated(F.col("n")) * F.col("idf")).alias("weight"))
-    owned = postings if owners is None else postings.drop("user_id").join(owners, "chunk_id")
-    scored = owned.join(asked, ["term", "user_id"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(saturated(F.col("n")) * F.col("weight")), 6).alias("score"))
-    return top(scored, k)
+    made = prepared or prepare(chunks.select("chunk_id", "user_id", "text"), queries, statistics)
+    return ranked_postings(made.postings, asked_terms(queries, made.weights), k, owners)
 
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, owners: DataFrame | None = None) -> DataFrame:
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int, owners: DataFrame | None = None, prepared: Prepared | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) by cosine in double precision, within a user's rows.
 
     ``chunks``: chunk_id, user_id, embedding; ``queries``: query_id, user_id, embedding. Vectors are scaled to unit
-    length once, before the join; a null vector, one of zeros and one of another length find nothing.
+    length once, before the join; a null vector, one of zeros and one of another length find nothing. Queries of at
+    most ``FEW`` rows go to the chunks; more are joined by user.
     """
     left = queries.select("query_id", "user_id", V.unit(F.col("embedding")).alias("q")).where("q is not null")
-    right = chunks.select("chunk_id", "user_id", V.unit(F.col("embedding")).alias("v")).where("v is not null")
+    right = prepared.vectors if prepared else chunks.select("chunk_id", "user_id", V.unit(F.col("embedding")).alias("v")).where("v is not null")
     right = right if owners is None else right.drop("user_id").join(owners, "chunk_id")
-    scored = right.join(left, "user_id").where(F.size("q") == F.size("v")).select("query_id", "chunk_id", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("score"))
+    scored = right.join(small(left, FEW), "user_id").where(F.size("q") == F.size("v")).select("query_id", "chunk_id", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("score"))
     return top(scored, k)
 
 
@@ -75,7 +106,7 @@ def rrf(legs: list[tuple[DataFrame, float]], k: int = RRF_K) -> DataFrame:
     return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, limit: int, mode: str = "hybrid", statistics: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, limit: int, mode: str = "hybrid", statistics: DataFrame | None = None, owners: DataFrame | None = None, prepared: Prepared | None = None) -> DataFrame:
     """The best ``limit`` chunks of each query with score, rank, dense_rank and sparse_rank.
 
     Mode ``dense`` or ``sparse`` gives that leg's own scores; ``hybrid`` fuses both, each of which has taken
@@ -83,12 +114,12 @@ def hybrid(chunks: DataFrame, queries: DataFrame, limit: int, mode: str = "hybri
     """
     fetch = fetch_size(limit)
     if mode == "dense":
-        return top(dense_topk(chunks, queries, fetch, owners).select("query_id", "chunk_id", "score", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("sparse_rank")), limit)
+        return top(dense_topk(chunks, queries, fetch, owners, prepared).select("query_id", "chunk_id", "score", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("sparse_rank")), limit)
     if mode == "sparse":
-        return top(sparse_topk(chunks, queries, fetch, statistics, owners).select("query_id", "chunk_id", "score", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("sparse_rank")), limit)
+        return top(sparse_topk(chunks, queries, fetch, statistics, owners, prepared).select("query_id", "chunk_id", "score", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("sparse_rank")), limit)
     none = F.lit(None).cast("double"), F.lit(None).cast("int")
-    d = dense_topk(chunks, queries, fetch, owners).select("query_id", "chunk_id", F.col("score").alias("ds"), F.col("rank").alias("dr"), none[0].alias("ss"), none[1].alias("sr"))
-    s = sparse_topk(chunks, queries, fetch, statistics, owners).select("query_id", "chunk_id", none[0].alias("ds"), none[1].alias("dr"), F.col("score").alias("ss"), F.col("rank").alias("sr"))
+    d = dense_topk(chunks, queries, fetch, owners, prepared).select("query_id", "chunk_id", F.col("score").alias("ds"), F.col("rank").alias("dr"), none[0].alias("ss"), none[1].alias("sr"))
+    s = sparse_topk(chunks, queries, fetch, statistics, owners, prepared).select("query_id", "chunk_id", none[0].alias("ds"), none[1].alias("dr"), F.col("score").alias("ss"), F.col("rank").alias("sr"))
     both = d.unionByName(s).groupBy("query_id", "chunk_id").agg(*[F.max(c).alias(c) for c in ("ds", "dr", "ss", "sr")])
     query = Window.partitionBy("query_id")
     fused = F.round(F.coalesce(1 / (RRF_K + F.col("dr")), F.lit(0.0)) + F.coalesce(1 / (RRF_K + F.col("sr")), F.lit(0.0)), 6)
@@ -137,18 +168,20 @@ def search(collection: DataFrame, queries: DataFrame, limit: int = LIMIT, mode:
     rows = collection if condition is None else collection.where(condition)
     plain = queries.select("query_id", "user_id", "text", "embedding")
     fetch = fetch_size(limit)
-    hits = hybrid(rows, plain, fetch, mode, collection)
+    prepared = prepare(rows, plain, None if condition is None else collection)
+    hits = hybrid(rows, plain, fetch, mode, prepared=prepared)
     if "titles" in queries.columns:
         gated = queries.where(use_titles(F.col("titles"), F.col("title_confidence")))
         scope = gated.select("user_id", F.explode(F.array_distinct("titles")).alias("lesson_title"), "query_id")
         # Within the title branch a query is a user of its own, who sees the chunks of the titles it names.
         owners = rows.select("chunk_id", "user_id", "lesson_title").join(scope, ["user_id", "lesson_title"]).select("chunk_id", F.col("query_id").alias("user_id"))
         asking = gated.select("query_id", F.col("query_id").alias("user_id"), "text", "embedding")
-        within = hybrid(rows, asking, fetch_size(fetch), mode, collection, owners)
+        within = hybrid(rows, asking, fetch_size(fetch), mode, owners=owners, prepared=prepared)
+        hits = stored(hits, "hits")  # it is read by both branches
         fused = title_weighted(within, hits.join(gated.select("query_id"), "query_id", "left_semi"), fetch).select("query_id", "chunk_id", "score", "rank")
         hits = hits.select("query_id", "chunk_id", "score", "rank").join(gated.select("query_id"), "query_id", "left_anti").unionByName(fused)
     texts = hits.select("query_id", "chunk_id", "score", "rank").join(collection.select("chunk_id", "text"), "chunk_id")
-    best = diversify(texts, limit)
+    best = stored(diversify(texts, limit), "best")
     shown = best.join(collection.select("chunk_id", F.col("lesson_title").alias("title"), F.coalesce("page_number", F.lit(0)).alias("page"), "doc_id", F.col("source_file").alias("source"), F.col("text").alias("content")), "chunk_id").withColumn("citation", T.citation_id(F.col("chunk_id")))
     owned = collection.groupBy("user_id").agg(F.count("*").alias("total_user_chunks"))
     counts = shown.groupBy("query_id").agg(F.count("*").alias("hit_count"), F.sort_array(F.collect_set("title")).alias("hit_titles"), F.sort_array(F.collect_set("page")).alias("hit_pages"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions.metrics import histogram
 from quern.operators.collection import latest
 from quern.plans.registry import query, table
-from quern.streaming import jobs, limiters
+from quern.sources.tables import new_path
+from quern.streaming import jobs, limiters, retries, store
 
 
 @query("fixed_minute_limiter", "SELECT event_id, row_number() OVER (PARTITION BY event_type, date_trunc('minute', ts) ORDER BY ts, event_id) AS nth, nth <= 2 AS allowed FROM events", ints=("nth",))
@@ -53,6 +54,45 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiters.breaker(events, "user_id", "ts", "event_id", "ok", 3, 86_400)
 
 
+@query(
+    "minute_guard",
+    """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) // 400 AS t, value < 200 AS ok, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 400, event_id) AS n FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL),
+    f AS (SELECT DISTINCT event_type, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0::BIGINT AS until, -1::BIGINT AS minute, 0 AS made, '' AS decision FROM e UNION ALL
+    SELECT event_type, n, event_id, CASE WHEN d = 'allowed' AND NOT coalesce(ok, false) THEN t + 90000000 ELSE until END, CASE WHEN d = 'open' THEN minute ELSE t // 60000000 END, CASE WHEN d = 'open' THEN made ELSE m END, d
+    FROM (SELECT *, CASE WHEN t < until THEN 'open' WHEN m > 10 THEN 'over' ELSE 'allowed' END AS d FROM (SELECT e.*, f.until, f.minute, f.made, CASE WHEN e.t // 60000000 = f.minute THEN f.made + 1 ELSE 1 END AS m FROM f JOIN e ON e.event_type = f.event_type AND e.n = f.n + 1)))
+    SELECT event_type, event_id, decision FROM f WHERE n > 0""",
+)
+def minute_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time passes 400 times as fast, so that minutes have many calls; a value of 200 and more opens the circuit."""
+    calls = table(spark, sf_dir, "events").withColumn("at", F.timestamp_micros(F.floor(limiters.micros(F.col("ts")) / 400)).cast("timestamp_ntz")).withColumn("ok", F.col("value") < 200)
+    return limiters.minute_guard(calls, "event_type", "at", "event_id", "ok", 10, 90)
+
+
+@query(
+    "delivery_attempts",
+    """WITH e AS (SELECT event_id, user_id, coalesce(value <= 30, false) AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    r AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY user_id ORDER BY n) AS run FROM e),
+    a AS (SELECT user_id, event_id, CASE WHEN ok THEN 0 ELSE (row_number() OVER (PARTITION BY user_id, run, ok ORDER BY n) - 1) % 3 + 1 END::INTEGER AS attempt FROM r)
+    SELECT *, CASE attempt WHEN 0 THEN 'commit' WHEN 3 THEN 'dead_letter' ELSE 'seek' END AS action, CASE WHEN attempt IN (1, 2) THEN least(30, 1 << attempt) ELSE 0 END::INTEGER AS wait_s FROM a""",
+)
+def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as deliveries of a batch for each user; those of a value above 30 fail."""
+    log = table(spark, sf_dir, "events").withColumn("ok", F.col("value") <= 30)
+    return retries.attempt_numbers(log, "user_id", limiters.micros(F.col("ts")), "event_id", "ok")
+
+
+@query(
+    "ledger_standing",
+    """SELECT event_type AS topic, (user_id % 4)::INTEGER AS partition, event_id // 9 * 9 AS first_offset, max(event_id) AS batch, arg_max(CASE WHEN value > 60 THEN 'failed' WHEN value > 40 THEN 'dead_letters' ELSE 'stored' END, event_id) AS outcome FROM events GROUP BY ALL""",
+)
+def ledger_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries of a ledger, nine offsets a batch."""
+    e = table(spark, sf_dir, "events")
+    outcome = F.when(F.col("value") > 60, "failed").when(F.col("value") > 40, "dead_letters").otherwise("stored")
+    entries = e.select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), (F.floor(F.col("event_id") / 9) * 9).alias("first_offset"), F.col("event_id").alias("batch"), F.lit(1).alias("turn"), outcome.alias("outcome"))
+    return retries.standing(entries).drop("turn")
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as messages of a topic for each type, in partitions by user."""
     e = table(spark, sf_dir, "events")
@@ -77,6 +117,18 @@ def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(_messages(spark, sf_dir).select("user_id", "offset", "value"), ["user_id"], ["offset"]).select("user_id", "offset", "value")
 
 
+@query("stored_batches", "SELECT user_id, event_type, max(event_id % 6)::BIGINT AS batch, arg_max(event_id, event_id % 6 * 1000000000 + event_id) AS event_id, arg_max(value, event_id % 6 * 1000000000 + event_id) AS value FROM events GROUP BY ALL")
+def stored_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user and type overwrite each other, in six batches of which half are compacted before the rest comes."""
+    key, order = ["user_id", "event_type"], ["event_id"]
+    path, events = new_path(spark, "collection"), table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    for batch in range(6):
+        store.write(path, latest(events.where(F.col("event_id") % 6 == batch), key, order), batch, key)
+        if batch == 2:
+            store.compact(spark, path, key, order, least=2)
+    return store.read(spark, path, key, order)
+
+
 _KIND = "CASE event_type WHEN 'signup' THEN 'begin' WHEN 'view' THEN 'progress' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' END"
 
 
