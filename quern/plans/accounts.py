@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import cache, identity, memory, practice, records
+from quern.operators import cache, consolidate, identity, memory, practice, records
 from quern.plans.registry import query, sql_strip, table
 
 _SAID = sql_strip("coalesce(text, '')")
@@ -251,3 +251,32 @@ def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, given = F.col("event_id") % 4, F.concat(F.lit('{"v":'), F.col("event_id").cast("string"), F.lit("}"))
     said = F.when(kind == 0, given).when(kind == 1, F.concat(F.lit("Here: "), given, F.lit(" done."))).when(kind == 2, "none").otherwise("{broken")
     return table(spark, sf_dir, "events").select("event_id", T.object_of(said).alias("found"))
+
+
+_T = "coalesce(to_json(text)::VARCHAR, 'null')"
+# What a model says of a turn, by its number: good items beside broken ones, an episode, one without an outcome, no JSON.
+_SAID_OF = (
+    ('{"facts":[{"content":', '},{"content":5},{"content":', ',"confidence":0.25,"category":"goal"},{"content":"x","confidence":2},7],"rules":[{"instruction":', ',"scope":"quiz"},{"instruction":"x","scope":"all"}]}'),
+    ('{"episode":{"situation":', ',"action":"a","outcome":"o","success":false},"facts":null}'),
+    ('{"episode":{"situation":', ',"action":"a"},"rules":[{"scope":"quiz"},{"instruction":', "}]}"),
+)
+
+
+@query(
+    "memory_consolidate",
+    f"""WITH r AS (SELECT conv_id, turn, CASE turn % 4 {' '.join(f"WHEN {k} THEN " + f" || {_T} || ".join(f"'{p}'" for p in parts) for k, parts in enumerate(_SAID_OF))} END::JSON AS j FROM conversations),
+    i AS (SELECT conv_id, turn, kind, unnest(range(len(a)))::INTEGER AS place, unnest(a) AS x FROM (SELECT conv_id, turn, 'semantic' AS kind, CAST(j->'$.facts' AS JSON[]) AS a FROM r WHERE json_type(j->'$.facts') = 'ARRAY' UNION ALL SELECT conv_id, turn, 'procedural', CAST(j->'$.rules' AS JSON[]) FROM r WHERE json_type(j->'$.rules') = 'ARRAY' UNION ALL SELECT conv_id, turn, 'episodic', [j->'$.episode'] FROM r WHERE json_type(j->'$.episode') = 'OBJECT'))
+    SELECT conv_id, turn, kind, place, CASE kind WHEN 'semantic' THEN x->>'$.content' WHEN 'procedural' THEN x->>'$.instruction' ELSE concat_ws(chr(10), x->>'$.situation', x->>'$.action', x->>'$.outcome', '') END AS searchable_text,
+    CASE WHEN kind = 'semantic' THEN coalesce((x->>'$.confidence')::DOUBLE, 0.7::DOUBLE) END AS confidence, CASE WHEN kind = 'semantic' THEN coalesce(x->>'$.category', 'fact') END AS category, CASE WHEN kind = 'procedural' THEN coalesce(x->>'$.scope', 'global') END AS scope, CASE WHEN kind = 'episodic' THEN coalesce((x->>'$.success')::BOOLEAN, true) END AS success
+    FROM i WHERE json_type(x) = 'OBJECT' AND CASE kind WHEN 'semantic' THEN json_type(x->'$.content') = 'VARCHAR' AND coalesce((x->>'$.confidence')::DOUBLE BETWEEN 0 AND 1, true) WHEN 'procedural' THEN json_type(x->'$.instruction') = 'VARCHAR' AND coalesce(x->>'$.scope' IN ('global', 'explanation', 'quiz', 'marking'), true)
+    ELSE json_type(x->'$.situation') = 'VARCHAR' AND json_type(x->'$.action') = 'VARCHAR' AND json_type(x->'$.outcome') = 'VARCHAR' END""",
+)
+def memory_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.to_json(F.array("text"))
+    said = F.substring(said, F.lit(2), F.length(said) - 2)
+    reply = F.concat(F.lit("no object: "), said)
+    for k, parts in enumerate(_SAID_OF):
+        pieces = [x for p in parts for x in (F.lit(p), said)][:-1]
+        reply = F.when(F.col("turn") % 4 == k, F.concat(*pieces)).otherwise(reply)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply"))
+    return consolidate.consolidated(rows).select("conv_id", "turn", "kind", "place", "searchable_text", "confidence", "category", "scope", "success")

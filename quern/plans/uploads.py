@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.registry import query, table
+from quern.plans.registry import query, sql_estimate, sql_uuid5, table
 from quern.sources import events, objects
+from quern.streaming import images
 
 _MIMES = ("application/pdf", "application/json", "text/plain", "text/html", "image/png", "image/jpeg", "text/csv")
 
@@ -90,6 +91,22 @@ def decode_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "reject_reason", "chunk.page", "chunk.block_type", F.length("chunk.text").alias("n_text"), F.length("chunk.embed_text").alias("n_embed"))
 
 
+@query(
+    "image_requests",
+    f"""WITH p AS (SELECT p_partkey, 'd' || p_partkey % 7 AS doc, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE 'Image from s' || p_partkey % 5 || ', unit ' || p_size || ', dimensions ' || p_size * 10 || 'x' || p_partkey % 900 || '.' END AS text, doc || ':' || p_size || ':image:' || p_partkey AS name FROM part)
+    SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'decode:json' END AS reject_reason, text, {sql_estimate('text')} AS token_count, {sql_uuid5('name')} AS chunk_id, 'u/' || doc || '/assets/h' || p_partkey % 50 || '.png' AS storage_key,
+    CASE WHEN p_partkey % 10 <> 0 THEN text END AS fallback, CASE WHEN p_partkey % 10 <> 0 THEN 'h' || p_partkey % 50 END AS digest, CASE WHEN p_partkey % 3 = 0 THEN 'true' ELSE 'false' END AS ocr FROM p""",
+)
+def image_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pictures; their requests are sent as messages, every tenth of them cut off, and decoded."""
+    k = F.col("p_partkey")
+    t = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), t("d", k % 7).alias("doc_id"), F.lit("u").alias("user_id"), t("s", k % 5).alias("source_name"), F.col("p_size").cast("int").alias("unit"), k.cast("int").alias("chunk_index"), F.array(F.lit("Parts")).alias("section_path"), F.lit(None).cast("array<double>").alias("bbox"), t("h", k % 50).alias("digest"), F.lit("png").alias("extension"), F.lit("image/png").alias("content_type"), F.when(k % 3 == 0, F.concat(F.lit(" "), "p_name", F.lit("\n"))).alias("ocr_text"), (F.col("p_size") * 10).cast("int").alias("width"), (k % 900).cast("int").alias("height"))
+    sent = images.pictures(rows).withColumn("value", F.encode(F.when(F.col("id") % 10 == 0, F.left("request", F.length("request") - 5)).otherwise(F.col("request")), "UTF-8")).drop("request")
+    found = images.decode_requests(sent)
+    return found.select("id", "reject_reason", "text", "token_count", "chunk_id", "storage_key", F.col("request.fallback_text").alias("fallback"), F.col("request.image_sha256").alias("digest"), F.col("extra")["ocr"].alias("ocr"))
+
+
 @query(
     "caption_cache",
     """WITH c AS (SELECT o_orderkey % 2000 AS image, max(o_orderdate) AS at FROM orders GROUP BY ALL)
