@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import cells
 from quern.operators import collection as C
 from quern.operators import search as S
 from quern.plans.registry import query, sql_dot, sql_estimate, sql_strip, sql_tokens, sql_unit, sql_uuid5, sql_words, table
@@ -72,6 +73,12 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.dense_topk(_vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 10)
 
 
+@query("dense_cells", f"WITH {_DENSE} SELECT query_id, chunk_id, score, rank FROM dr WHERE rank <= 10", ints=("rank",))
+def dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``dense_topk`` from an index of cells."""
+    return cells.topk(cells.build(_vectors(spark, sf_dir)), _vector_queries(spark, sf_dir), 10)[0]
+
+
 _BOTH = f"""doc AS (SELECT d.doc_id AS chunk_id, coalesce(e.label, d.doc_id % 10) AS user_id, d.text, e.embedding, d.lang FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
 dt AS (SELECT chunk_id, term, count(*) AS n FROM (SELECT chunk_id, unnest({sql_tokens('text')}) AS term FROM doc) GROUP BY ALL),
 w AS (SELECT term, ln(1 + ((SELECT count(*) FROM doc) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM dt GROUP BY term),
