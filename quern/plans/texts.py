@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions.hashing import BUCKETS, bucket
-from quern.operators import chunking, encoding
+from quern.operators import encoding
 from quern.operators.collection import gate
 from quern.plans.registry import SPACE, query, sql_strip, sql_tokens, sql_words, table
 from quern.sources import files
@@ -111,24 +111,9 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", T.chunk_id(F.col("doc_id"), F.lit(1), F.lit("paragraph"), F.lit(0)).alias("chunk_id"), T.citation_id(F.col("doc_id")).alias("citation"))
 
 
-@query("chunk_documents")
-def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of every whole document, under its source as section, numbered through the document."""
-    units = chunking.paragraphs(table(spark, sf_dir, "documents"), "doc_id", section=F.col("source"))
-    chunks = chunking.number(chunking.chunk(units, "doc_id", "unit"))
-    return chunks.select("doc_id", "chunk_id", "chunk_index", "chunk_type", "token_count", "text")
-
-
 @query("html_text")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page read as an HTML file."""
     pages = table(spark, sf_dir, "pages")
     found = files.units(pages.select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"), F.lit("text/html").alias("content_type")))
     return found.select(F.col("path").cast("bigint").alias("page_id"), "reader", F.try_element_at("blocks", F.lit(1))["text"].alias("text"), "error")
-
-
-@query("word_windows")
-def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks at a small limit: sentences, and words of sentences above it."""
-    units = chunking.paragraphs(table(spark, sf_dir, "benchmark"), "item_id")
-    return chunking.chunk(units, "item_id", most=24, overlap=8).select("item_id", "part", "token_count", "text")
