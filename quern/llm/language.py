@@ -24,10 +24,14 @@ LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 
-#: Bounds of the model: labelled documents read for each language, words and n-grams kept for each.
+#: Bound of the model: labelled documents read for each language. All their words and n-grams are kept.
 TRAIN_DOCS = 1500
-KEPT_WORDS = 30_000
-KEPT_GRAMS = 8_000
+
+
+def grams_of(word: str, n: int) -> list[str]:
+    """The ``n``-grams of a word with its ends marked; the marks by themselves tell nothing of it."""
+    marked = f"<{word}>" if n > 1 else word
+    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
 @dataclass
@@ -35,15 +39,16 @@ class LanguageModel:
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[int, dict[str, np.ndarray]]
+    #: The language of most labelled documents, for texts of which nothing is known.
+    usual: str = UNKNOWN
 
     def vector(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, or of its longest known n-grams; None if nothing of it is known."""
         if (v := self.words.get(word)) is not None:
             return v
-        padded = f"<{word}>"
         for n in ORDERS:
             table = self.grams[n]
-            found = [v for i in range(len(padded) - n + 1) if (v := table.get(padded[i : i + n])) is not None]
+            found = [v for g in grams_of(word, n) if (v := table.get(g)) is not None]
             if found:
                 return sum(found[1:], found[0]) / len(found)
         return None
@@ -87,9 +92,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model of the documents outside the held-out fold.
 
     For each language about ``per_language`` documents are read, chosen by a hash of the id, so that the model
-    is bounded and no language crowds out another; rows with a null text or language teach nothing. N-gram counts
-    are made in the tasks and summed by Spark; the driver gets the kept ones, ``KEPT_WORDS`` and ``KEPT_GRAMS``
-    for each language and order at most. With no labelled rows the model has no language.
+    is bounded and no language crowds out another; rows with a null text or language teach nothing. Counts of words and
+    n-grams are made in the tasks and summed by Spark; the driver gets those of the documents read, each once. With no
+    labelled rows the model has no language.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where((F.coalesce(fold(F.col("id"), folds), F.lit(0)) != held_out) & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
@@ -107,22 +112,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang, words in seen.items():
             grams = {n: Counter() for n in ORDERS}
             for word, c in words.items():
-                padded = f"<{word}>"
                 for n in ORDERS:
-                    for i in range(len(padded) - n + 1):
-                        grams[n][padded[i : i + n]] += c
+                    for g in grams_of(word, n):
+                        grams[n][g] += c
             for n, table in ((0, words), *grams.items()):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], names=["lang", "n", "gram", "c"])
 
-    from pyspark.sql import Window
-
     summed = sample.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    ranked = summed.withColumn("k", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("c"), "gram")))
-    kept = ranked.where(F.col("k") <= F.when(F.col("n") == 0, KEPT_WORDS).otherwise(KEPT_GRAMS)).select("lang", "n", "gram", "c").toPandas()
-    return _fit(sorted(counts), kept)
+    return _fit(sorted(counts), summed.select("lang", "n", "gram", "c").toPandas(), max(sorted(counts), key=counts.get))
 
 
-def _fit(languages: list[str], kept) -> LanguageModel:
+def _fit(languages: list[str], kept, usual: str | None = None) -> LanguageModel:
     at = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
     for n, part in kept.groupby("n"):
@@ -133,14 +133,17 @@ def _fit(languages: list[str], kept) -> LanguageModel:
             total[at[lang]] += c
         size = total + 0.5 * len(raw)
         tables[int(n)] = {g: np.log((v + 0.5) / size) for g, v in raw.items()}
-    return LanguageModel(languages, tables.pop(0), tables)
+    return LanguageModel(languages, tables.pop(0), tables, usual or languages[0])
 
 
 def predict(model: LanguageModel, totals: np.ndarray) -> tuple[str, float]:
-    """Language and score from a document's sums; ``und`` and 0.0 where nothing speaks for a language."""
+    """Language and score from a document's sums; ``und`` without a word, the usual language and 0.0 where no word or
+    n-gram of it is known."""
     k = len(model.languages)
-    if not k or not totals[2 * k] or not totals[k : 2 * k].sum():
+    if not k or not totals[2 * k]:
         return UNKNOWN, 0.0
+    if not totals[k : 2 * k].sum():
+        return model.usual, 0.0
     best = int(np.argmax(totals[:k]))
     return model.languages[best], float(totals[k + best] / totals[2 * k])
 

@@ -67,6 +67,13 @@ def test_language_odd_rows(spark, odd, docs_of):
     ask = docs_of([(1, "nichts understandable"), (2, "12 34 !"), (3, "Thatnot thethe")]).drop("r")
     found = {r.doc_id: r.r.lang_pred for r in language.identify(ask, model).collect()}
     assert found[2] == "und" and found[3] == "en"
+    # Letters that no labelled document holds: the language of most of them, with no word for it.
+    unseen = {r.doc_id: (r.r.lang_pred, r.r.score) for r in language.identify(docs_of([(1, "中文"), (2, "Ωμέγα 12"), (3, "12")]).drop("r"), model).collect()}
+    assert unseen == {1: ("de", 0.0), 2: ("de", 0.0), 3: ("und", 0.0)}
+    more = language.train(teach.union(docs_of([(k, "the and of") for k in range(40, 50)], "en")))
+    assert language.predict(more, np.array([0.0] * 4 + [1.0])) == ("en", 0.0)
+    rare = language.train(docs_of([(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}x{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676)}" for j in range(2000))) for k in range(40)], "de"))
+    assert len(rare.words) > 30_000  # however rare, a word that was read is known
     none = language.train(teach.limit(0))
     assert {r.r.lang_pred for r in language.identify(odd.drop("r"), none).collect()} == {"und"}
     assert language.language_table(odd.limit(0)).count() == 0 and language.language_table(odd).count() == 10
