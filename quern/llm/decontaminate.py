@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from quern.llm.shared import WordHashes, distinct, grams, text_slices
+from quern.llm.shared import WordHashes, distinct, free_name, grams, text_slices
 
 # Production parameters.
 WINDOW, STRIDE = 128, 64  # words of a passage, and between the starts of two; an item part has at most STRIDE words
@@ -294,7 +294,7 @@ def _finder(items, counts):
 def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", into: str = "leaks") -> DataFrame:
     """``docs`` with an array of the verified items that each whole text holds: item_id, score and both overlaps.
 
-    Columns of ``docs`` with the names that are made here (``into``, ``__leaks_0`` …) are overwritten. A null or empty
+    A column ``into`` of ``docs`` is replaced, all others stay, whatever their names. A null or empty
     text, and an empty table of items, give an empty array. Items with a null id or text are left out; items with equal texts are each
     reported. Documents are not shuffled and no other column is read. The
     items, in slices of at most ``SLICE_ITEMS`` rows and ``SLICE_CHARS`` characters, go to every task.
@@ -309,7 +309,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     for number, part in enumerate(_slices(bench)):
         shipped = spark.sparkContext.broadcast(part)
 
-        columns.append(f"__leaks_{number}")
+        columns.append(free_name(out.columns, f"__leaks_{number}"))
         out = out.withColumn(columns[-1], _finder(shipped, counts)(F.col(text_col)))
     if not columns:
         return docs.withColumn(into, F.array().cast(_LEAKS))

@@ -8,7 +8,7 @@ the sums over its words; its language is the best, its score the share of words
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,20 +119,30 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(table)), pa.array([n] * len(table), pa.int32()), pa.array(list(table), pa.string()), pa.array(list(table.values()), pa.int64())], names=["lang", "n", "gram", "c"])
 
     summed = sample.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c bigint").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    return _fit(sorted(counts), summed.select("lang", "n", "gram", "c").toPandas(), max(sorted(counts), key=counts.get))
+    return _fit(sorted(counts), _rows(summed.select("lang", "n", "gram", "c").toArrow()), max(sorted(counts), key=counts.get))
 
 
-def _fit(languages: list[str], kept, usual: str | None = None) -> LanguageModel:
+def _rows(table: pa.Table) -> Iterator[tuple]:
+    """Rows of a table, some at a time."""
+    for batch in table.to_batches(max_chunksize=20_000):
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _fit(languages: list[str], kept: Iterable[tuple[str, int, str, int]], usual: str | None = None) -> LanguageModel:
+    """The model of counts (language, order or 0 for words, gram, count)."""
     at = {lang: i for i, lang in enumerate(languages)}
     tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    for n, part in kept.groupby("n"):
-        raw: dict[str, np.ndarray] = {}
-        total = np.zeros(len(languages))
-        for lang, gram, c in zip(part["lang"], part["gram"], part["c"], strict=True):
-            raw.setdefault(gram, np.zeros(len(languages)))[at[lang]] += c
-            total[at[lang]] += c
-        size = total + 0.5 * len(raw)
-        tables[int(n)] = {g: np.log((v + 0.5) / size) for g, v in raw.items()}
+    total = {n: np.zeros(len(languages)) for n in tables}
+    for lang, n, gram, c in kept:
+        row = tables[n].get(gram)
+        if row is None:
+            row = tables[n][gram] = np.zeros(len(languages))
+        row[at[lang]] += c
+        total[n][at[lang]] += c
+    for n, table in tables.items():
+        size = total[n] + 0.5 * len(table)
+        for row in table.values():
+            np.log((row + 0.5) / size, out=row)
     return LanguageModel(languages, tables.pop(0), tables, usual or languages[0])
 
 

@@ -42,6 +42,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores after it as make it a name that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the split of training and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

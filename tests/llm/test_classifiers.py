@@ -80,9 +80,7 @@ def test_language_odd_rows(spark, odd, docs_of):
 
 
 def test_backoff_goes_to_shorter_grams():
-    import pandas as pd
-
-    kept = pd.DataFrame([("a", 0, "word", 3), ("b", 0, "other", 3), ("a", 4, "<wor", 2), ("b", 3, "xyz", 2), ("b", 1, "q", 1)], columns=["lang", "n", "gram", "c"])
+    kept = [("a", 0, "word", 3), ("b", 0, "other", 3), ("a", 4, "<wor", 2), ("b", 3, "xyz", 2), ("b", 1, "q", 1)]
     model = language._fit(["a", "b"], kept)
     assert model.vector("word")[0] > model.vector("word")[1]
     assert (model.vector("worq") == model.grams[4]["<wor"]).all() and (model.vector("axyz") == model.grams[3]["xyz"]).all()

@@ -35,3 +35,13 @@ def test_stages_take_odd_rows(spark, sf_dir, odd):
     assert P.decontamination(spark, rows, sf_dir).columns == rows.columns
     for _, stage in P.STAGES:
         assert stage(spark, rows.limit(0), sf_dir).count() == 0
+
+
+def test_stages_keep_columns_of_their_own_names(spark, sf_dir, odd):
+    import corpus_pipeline as P
+
+    named = odd.withColumns({"__language": F.lit(1), "__leaks": F.lit(2), "__leaks_0": F.lit(3)})
+    for stage in (P.language, P.decontamination, P.near_duplicates):
+        out = stage(spark, named, sf_dir)
+        assert out.columns == named.columns
+        assert {(r["__language"], r["__leaks"], r["__leaks_0"]) for r in out.collect()} <= {(1, 2, 3)}
