@@ -7,6 +7,7 @@ the sums over its words; its language is the best, its score the share of words
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,11 +35,30 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Table:
+    """Log frequencies of texts in each language: rows of one matrix, which takes little room beside the texts."""
+
+    __slots__ = ("at", "rows")
+
+    def __init__(self, at: dict[str, int], rows: np.ndarray):
+        self.at, self.rows = at, rows
+
+    def get(self, text: str) -> np.ndarray | None:
+        k = self.at.get(text)
+        return None if k is None else self.rows[k]
+
+    def __getitem__(self, text: str) -> np.ndarray:
+        return self.rows[self.at[text]]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: Table
+    grams: dict[int, Table]
     #: The language of most labelled documents, for texts of which nothing is known.
     usual: str = UNKNOWN
 
@@ -100,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where((F.coalesce(fold(F.col("id"), folds), F.lit(0)) != held_out) & F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageModel([], {}, {n: {} for n in ORDERS})
+        return LanguageModel([], Table({}, np.zeros((0, 0))), {n: Table({}, np.zeros((0, 0))) for n in ORDERS})
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
@@ -131,18 +151,20 @@ def _rows(table: pa.Table) -> Iterator[tuple]:
 def _fit(languages: list[str], kept: Iterable[tuple[str, int, str, int]], usual: str | None = None) -> LanguageModel:
     """The model of counts (language, order or 0 for words, gram, count)."""
     at = {lang: i for i, lang in enumerate(languages)}
-    tables: dict[int, dict[str, np.ndarray]] = {n: {} for n in (0, *ORDERS)}
-    total = {n: np.zeros(len(languages)) for n in tables}
+    names: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+    found = {n: (array("q"), array("q"), array("d")) for n in names}
     for lang, n, gram, c in kept:
-        row = tables[n].get(gram)
-        if row is None:
-            row = tables[n][gram] = np.zeros(len(languages))
-        row[at[lang]] += c
-        total[n][at[lang]] += c
-    for n, table in tables.items():
-        size = total[n] + 0.5 * len(table)
-        for row in table.values():
-            np.log((row + 0.5) / size, out=row)
+        rows, columns, counts = found[n]
+        rows.append(names[n].setdefault(gram, len(names[n])))
+        columns.append(at[lang])
+        counts.append(c)
+    tables = {}
+    for n, name in names.items():
+        matrix = np.zeros((len(name), len(languages)))
+        rows, columns, counts = (np.frombuffer(x, dtype=x.typecode) for x in found.pop(n))
+        np.add.at(matrix, (rows, columns), counts)
+        size = matrix.sum(axis=0) + 0.5 * len(name)
+        tables[n] = Table(name, np.log((matrix + 0.5) / size))
     return LanguageModel(languages, tables.pop(0), tables, usual or languages[0])
 
 
