@@ -22,6 +22,19 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
 
+#: Lower-case letters whose case folding is another text, such as ``ß`` and the final sigma, by the rule of the language.
+FOLDED = {c: c.casefold() for k in range(0x80, 0x20000) if not 0xD800 <= k < 0xE000 and (c := chr(k)).lower() == c and c.casefold() != c}
+_FOLDED = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in FOLDED) + "]"
+
+
+def casefold(text: Column) -> Column:
+    """``text`` for comparison whatever its case. Letters are looked up one by one only in a text that has such a letter."""
+    low = F.lower(text)
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    each = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(low.rlike(_FOLDED), each).otherwise(low)
+
+
 def blank_to_null(text: Column) -> Column:
     """Null where ``text`` is null, empty or only white space; else ``text`` as it is."""
     return F.when(strip(text) != "", text)
@@ -116,8 +129,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """SHA-256 of the lower-case words joined by one space: equal for texts that differ in case, signs or spaces."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"((?U)[\w\x{0D80}-\x{0DFF}]+)"), F.lit(1))
+    """SHA-256 of the case-folded words joined by one space: equal for texts that differ in case, signs or spaces."""
+    found = F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(r"((?U)[\w\x{0D80}-\x{0DFF}]+)"), F.lit(1))
     return F.sha2(F.array_join(found, " "), 256)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 from quern.operators.encoding import small
 from quern.operators.search import FEW, top
-from quern.sources.tables import stored
+from quern.sources.tables import new_path, stored
 
 #: Pivots at most, and vectors that they are drawn from.
 PIVOTS, SAMPLE = 128, 8192
@@ -71,7 +71,10 @@ def build(chunks: DataFrame, pivots: int = PIVOTS) -> Cells:
 
     kinds = dict(unit.dtypes)
     placed = unit.select("chunk_id", "user_id", "v", "size").mapInArrow(place, f"chunk_id {kinds['chunk_id']}, user_id {kinds['user_id']}, v array<double>, size int, cell int, angle double")
-    placed = stored(placed.repartition("user_id", "size", "cell"), "cells")
+    # A folder for each cell, so that cells that no query wants aren't opened; a cell of many vectors has several files.
+    path, salt = new_path(chunks.sparkSession, "cells"), F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, n // 1_000_000)))
+    placed.repartition("cell", salt).write.partitionBy("cell").parquet(path)
+    placed = chunks.sparkSession.read.schema(placed.schema).parquet(path)
     heads = placed.groupBy("user_id", "size", "cell").agg(F.min("angle").alias("near"), F.max("angle").alias("far"), F.count("*").alias("held"))
     known = chunks.sparkSession.createDataFrame([(k, [float(y) for y in p]) for k, p in enumerate(points)], "cell int, pivot array<double>")
     return Cells(placed.drop("angle"), stored(heads.join(F.broadcast(known), "cell", "left"), "heads"))

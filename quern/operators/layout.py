@@ -6,6 +6,9 @@ page or document needs together is a window over it; every other step is an expr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,30 @@ TITLE_RATIO, TITLE_CHARS, MERGE_GAP, SAME_SIZE, TITLE_SLACK = 1.60, 120, 1.8, 0.
 MIN_WIDTH, MIN_HEIGHT, MIN_AREA, MOST_IMAGES, LEAST_CHARS = 120, 120, 0.02, 8, 80
 
 
+def converted(spans: DataFrame, convert: Callable[[str, str], object] | None = None, font: str = "font") -> DataFrame:
+    """``spans`` with texts of fonts that have codes of their own turned to Unicode by ``convert``, a function of text and
+    font's name. It may return a text, a tuple that begins with one, or an object with a field ``text``,
+    ``converted_text`` or ``output``; anything else is an error. Without it texts stay as they are, as blank ones do."""
+    if convert is None:
+        return spans
+
+    def unicode(text: str | None, name: str | None) -> str | None:
+        if text is None or not text.strip():
+            return text
+        found = convert(text, name or "")
+        tried = (found, found[0] if isinstance(found, tuple) and found else None, *(getattr(found, a, None) for a in ("text", "converted_text", "output")))
+        for value in tried:
+            if isinstance(value, str):
+                return value
+        raise TypeError(f"a font's conversion gave {type(found).__name__}")
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, fonts: pa.Array) -> pa.Array:
+        return pa.array([unicode(t, f) for t, f in zip(texts.to_pylist(), fonts.to_pylist(), strict=True)], pa.string())
+
+    return spans.withColumn("text", run(F.col("text"), F.col(font)))
+
+
 def assemble_lines(spans: DataFrame) -> DataFrame:
     """Spans (doc_id, page, line_no, span_no, text, size, bold) as lines: text in order, size as the median weighted
     by characters (the first size at which half of them are reached), bold from 60 % of bold characters on."""

@@ -35,7 +35,7 @@ def sql_chunks(rows: str, key: str, most: int, overlap: int) -> str:
     se AS (SELECT {key}, unnest(range(1, len(ss) + 1)) AS sn, unnest(ss) AS s, len(ss) AS n FROM (SELECT *, {cut} AS ss FROM sz WHERE tok > {most})),
     lw AS (SELECT {key}, sn, w, {running('fw')} AS cf FROM (SELECT *, list_transform(w, lambda x: {_FOREIGN.format('x')}) AS fw FROM (SELECT {key}, sn, {sql_words('s')} AS w FROM se WHERE n = 1 OR {sql_estimate('s')} > {most}))),
     win AS (SELECT {key}, sn, 0 AS n, 0::BIGINT AS a, 0::BIGINT AS e, 0::BIGINT AS nx FROM lw UNION ALL
-    SELECT {key}, sn, n + 1, a, e, CASE WHEN e = len(w) THEN -1 WHEN a < b AND b < e THEN b ELSE e END FROM (SELECT *, {back} AS b FROM (SELECT *, {window} AS e FROM (SELECT x.{key}, x.sn, x.n, x.nx AS a, lw.w, lw.cf FROM win x JOIN lw ON lw.{key} = x.{key} AND lw.sn = x.sn WHERE x.nx >= 0)))),
+    SELECT {key}, sn, n + 1, a, e, CASE WHEN e = len(w) THEN -1 ELSE b + len(list_filter(range(b, e), lambda b: {cost('b', 'e + 1')} > {most})) END FROM (SELECT *, {back} AS b FROM (SELECT *, {window} AS e FROM (SELECT x.{key}, x.sn, x.n, x.nx AS a, lw.w, lw.cf FROM win x JOIN lw ON lw.{key} = x.{key} AND lw.sn = x.sn WHERE x.nx >= 0)))),
     wt AS (SELECT win.{key}, win.sn, win.n, array_to_string(lw.w[win.a + 1:win.e], ' ') AS p FROM win JOIN lw ON lw.{key} = win.{key} AND lw.sn = win.sn WHERE win.n > 0),
     pt AS (SELECT {key}, sn, 0 AS n, s AS p FROM se WHERE se.n > 1 AND {sql_estimate('s')} <= {most} UNION ALL SELECT wt.* FROM wt JOIN (SELECT DISTINCT {key} FROM se WHERE n > 1) m ON m.{key} = wt.{key}),
     pl AS (SELECT {key}, ps, ws, fs, {running('cs')} AS cc FROM (SELECT {key}, list(p ORDER BY sn, n) AS ps, list(len({sql_words('p')}) ORDER BY sn, n) AS ws, list({_FOREIGN.format('p')} ORDER BY sn, n) AS fs, list({sql_estimate('p')} ORDER BY sn, n) AS cs FROM pt GROUP BY {key})),

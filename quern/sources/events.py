@@ -50,7 +50,7 @@ def decode_chunks(messages: DataFrame, value: str = "value") -> DataFrame:
     kinds = dict(f.split(" ", 1) for f in CHUNK.split(", "))
 
     def merged(name: str) -> Column:
-        if name in ("extra", "section_path"):
+        if name in ("extra", "section_path", "bbox"):
             return F.col(f"chunk.{name}")
         return F.coalesce(F.try_element_at(F.col("chunk.extra"), F.lit(name)).try_cast(kinds[name]), F.col(f"chunk.{name}")).alias(name)
 
@@ -72,6 +72,27 @@ def wire(chunks: DataFrame, kind: str = "block_type") -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in chunks.columns if c not in (kind, "type", "block_type")], F.col(kind).alias("type"), F.col(kind).alias("block_type")))
 
 
+def chunk_messages(chunks: DataFrame) -> DataFrame:
+    """``key`` and ``value`` of chunks (their columns, doc_id, user_id, source_name, page) for the topic of chunks: the
+    chunks of a unit have one key, so that they keep their order."""
+    inner = [c for c in chunks.columns if c not in ("user_id", "source_name", "block_type")]
+    chunk = F.struct(*inner, F.col("block_type").alias("type"), F.col("block_type").alias("block_type"))
+    event = F.struct(F.lit(1).alias("schema_version"), "doc_id", "user_id", "source_name", F.coalesce(F.size("section_path") > 0, F.lit(False)).alias("require_title"), chunk.alias("chunk"))
+    return chunks.select(F.concat_ws(":", "doc_id", F.coalesce("page", F.lit(0)).cast("string")).alias("key"), F.to_json(event).alias("value"))
+
+
+def image_messages(pictures: DataFrame) -> DataFrame:
+    """``key`` and ``value`` of requests to describe pictures, by chunk."""
+    return pictures.where("request is not null").select(F.col("chunk_id").alias("key"), F.col("request").alias("value"))
+
+
+def ingested_messages(documents: DataFrame) -> DataFrame:
+    """``key`` and ``value`` that tell of documents read as a whole (doc_id, user_id, job_id, source_name,
+    units_processed, chunks_published, images_queued), by document."""
+    fields = ("doc_id", "user_id", "job_id", "source_name", "units_processed", "chunks_published", "images_queued")
+    return documents.select(F.col("doc_id").cast("string").alias("key"), F.to_json(F.struct(F.lit(1).alias("schema_version"), *fields)).alias("value"))
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str, per_batch: int = 32) -> DataFrame:
     """A topic as a stream of messages, at most ``per_batch`` offsets a micro-batch. Needs Spark's Kafka package."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("maxOffsetsPerTrigger", per_batch).load()

@@ -19,7 +19,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.schemas import UNITS
@@ -301,6 +301,50 @@ def units(files: DataFrame, known: list[Reader] | None = None, most_units: int =
     return named.mapInArrow(parse, UNITS)
 
 
+#: What a line of a large file becomes, by the kind of file.
+_LINES = {
+    "csv": lambda line: " | ".join(c.strip() for c in next(csv.reader([line]), [])),
+    "tsv": lambda line: " | ".join(c.strip() for c in next(csv.reader([line], delimiter="\t"), [])),
+    "jsonl": lambda line: json.dumps(json.loads(line), ensure_ascii=False),
+    "text": lambda line: line,
+}
+
+
+def line_units(spark: SparkSession, folder: str, kind: str, rows: int = 1000) -> DataFrame:
+    """Units (path, reader, unit, label, blocks, assets, error) of files below ``folder`` that are too large to be read
+    whole: ``csv``, ``tsv``, ``jsonl`` or ``text``, of at most ``rows`` lines each.
+
+    Spark's own source reads the files by ranges of bytes, so one huge file is spread over tasks and a task holds some
+    lines. Lines keep their order within a unit and units that within their file; a unit ends with its range at the
+    latest. Blank lines are left out. A cell of CSV can't hold a line's end here. A line that can't be read makes an error of
+    its unit, whose other lines stay.
+    """
+    parse, block_type = _LINES[kind], "table" if kind in ("csv", "tsv") else "text"
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value").where(F.trim("value") != "")
+    parts = lines.groupBy("path", "start", F.floor(F.col("n") / rows).alias("part")).agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("lines"))
+    parts = parts.withColumn("lines", F.transform("lines", lambda x: x["value"])).withColumn("unit", F.row_number().over(Window.partitionBy("path").orderBy("start", "part")))
+
+    @F.arrow_udf("struct<text:string,error:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            texts, errors = [], []
+            for some in batch.to_pylist():
+                good, error = [], None
+                for line in some:
+                    try:
+                        good.append(parse(line))
+                    except Exception as e:  # noqa: BLE001  whatever a parser raises belongs to this line alone
+                        error = error or f"{type(e).__name__}: {e}"[:1000]
+                texts.append("\n".join(good))
+                errors.append(error)
+            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["text", "error"])
+
+    read = parts.withColumn("r", run("lines"))
+    block_ = F.struct(F.lit(block_type).alias("block_type"), F.col("r.text").alias("text"), F.array().cast("array<string>").alias("section_path"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    label = F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), F.col("unit").cast("string"))
+    return read.select("path", F.lit(kind).alias("reader"), "unit", label.alias("label"), F.array(block_).alias("blocks"), F.array().cast("array<struct<data:binary,extension:string,content_type:string,digest:string>>").alias("assets"), "r.error")
+
+
 def blocks(unit_rows: DataFrame, *keep: str) -> DataFrame:
     """A row for each block of units that have no error: ``keep``, unit, pos, and the fields of the block."""
     rows = unit_rows.where("error is null")

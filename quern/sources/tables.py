@@ -21,9 +21,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Paths that this process has taken and not given back.
+_TAKEN: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _TAKEN.append(f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}")
+    return _TAKEN[-1]
 
 
 def stored(rows: DataFrame, what: str) -> DataFrame:
@@ -37,3 +42,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder at ``path``."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete the table or folder at ``path``, if there is one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables that were stored on the way to results, once these are written; how many there were. Frames
+    made from them can't be read afterwards."""
+    n = len(_TAKEN)
+    while _TAKEN:
+        delete(spark, _TAKEN.pop())
+    return n

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.encoding import idf, saturated, small, term_counts
 from quern.operators.search import FEW, asked_terms, top
-from quern.sources.tables import exists, stored
+from quern.sources.tables import delete, exists, stored
 from quern.streaming import store
 
 BLOCK, BUCKETS = 128, 64
@@ -37,8 +37,9 @@ def blocks(counts: DataFrame, *more: str, size: int = BLOCK) -> DataFrame:
 def add(path: str, chunks: DataFrame, batch: int, replaced: DataFrame | None = None) -> None:
     """Add ``chunks`` (chunk_id, user_id, text), one row for each id, as ``batch``; ``replaced`` are the rows (chunk_id,
     user_id, text, batch) that they overwrite. A batch added again replaces itself."""
-    spark = chunks.sparkSession
-    counts = stored(term_counts(chunks, "chunk_id", "user_id"), "counts")
+    spark, aside = chunks.sparkSession, f"{path}/counting"
+    term_counts(chunks, "chunk_id", "user_id").write.mode("overwrite").parquet(aside)
+    counts = spark.read.parquet(aside)
     folder = f"{path}/segments/batch={batch}"
     blocks(counts).withColumn("batch", F.lit(batch).cast("bigint")).withColumn("bucket", store.bucket(["term"], BUCKETS)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
     more = counts.groupBy("term").agg(F.count("*").alias("change"))
@@ -52,6 +53,7 @@ def add(path: str, chunks: DataFrame, batch: int, replaced: DataFrame | None = N
     size.write.mode("overwrite").parquet(f"{path}/sizes/batch={batch}")
     here = [e for e in store.manifest(spark, path) if e[2] != batch]
     store.publish(spark, path, [*here, (0, folder, batch)])
+    delete(spark, aside)
 
 
 def _overwritten(spark: SparkSession, path: str) -> DataFrame | None:

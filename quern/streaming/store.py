@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.collection import latest
-from quern.sources.tables import exists
+from quern.sources.tables import delete, exists
 
 BUCKETS, MOST_DELTAS = 64, 8
 MANIFEST = "bucket int, folder string, batch bigint"  # the base of a bucket has batch -1
@@ -123,12 +123,11 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     """Delete folders that none of the last ``keep`` manifests names, and older manifests. What was deleted."""
     known = versions(spark, path)
     used = {f.rstrip("/") for v in known[-keep:] for _, f, _ in manifest(spark, path, v)}
-    conf, gone = spark._jsc.hadoopConfiguration(), []
+    gone = []
     folders = [f"{path}/{kind}/{f}" for kind in ("base", "batches") for f in _folders(spark, f"{path}/{kind}")]
     folders += [f"{path}/manifest/version={v}" for v in known[:-keep]]
     for folder in folders:
         if folder not in used and (not folder.startswith(f"{path}/manifest/") or int(folder.rpartition("=")[2]) in known[:-keep]):
-            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            place.getFileSystem(conf).delete(place, True)
+            delete(spark, folder)
             gone.append(folder)
     return gone

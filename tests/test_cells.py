@@ -39,3 +39,12 @@ def test_empty(grouped):
     chunks, asked = grouped
     assert cells.topk(cells.build(chunks.limit(0)), asked, 3)[0].count() == 0
     assert cells.topk(cells.build(chunks), asked.limit(0), 3)[0].count() == 0
+
+
+def test_stored_tables_are_released(spark):
+    from quern.sources import tables
+
+    df = tables.stored(spark.range(3), "some")
+    files = df.inputFiles()
+    assert df.count() == 3 and files and tables.exists(spark, files[0])
+    assert tables.release(spark) >= 1 and not tables.exists(spark, files[0]) and tables.release(spark) == 0

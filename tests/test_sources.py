@@ -119,3 +119,28 @@ def test_chunk_events(spark):
     assert got[2].chunk.chunk_id == "c2" and got[2].chunk.embed_text == "x" and got[2].chunk.block_type == "text"
     wired = spark.createDataFrame([("c", "table")], "chunk_id string, block_type string")
     assert json.loads(wired.select(events.wire(wired).alias("w")).first().w) == {"chunk_id": "c", "type": "table", "block_type": "table"}
+
+
+def test_large_files_are_read_by_ranges(spark, tmp_path):
+    import json
+
+    from quern.sources import files
+
+    rows = [f'{i},"name {i}, jr", padded {i} ' for i in range(3000)]
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "big.csv").write_text("\n".join(rows) + "\n\n")
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "big.jsonl").write_text("\n".join("{broken" if i == 7 else json.dumps({"i": i, "é": None}) for i in range(500)))
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")
+    try:
+        units = files.line_units(spark, str(tmp_path / "c"), "csv", 100).orderBy("unit").collect()
+        assert len({u.path for u in units}) == 1 and len(units) > 30 and [u.unit for u in units] == list(range(1, len(units) + 1))
+        whole = next(files.read_csv((tmp_path / "c" / "big.csv").read_bytes(), "big.csv")).blocks[0]["text"]
+        assert "\n".join(u.blocks[0].text for u in units) == whole.strip() and max(u.blocks[0].text.count("\n") for u in units) < 100
+        lines = files.line_units(spark, str(tmp_path / "j"), "jsonl", 400).orderBy("unit").collect()
+        assert [u.error is None for u in lines].count(False) == 1 and lines[0].error.startswith("JSONDecodeError")
+        assert [json.loads(x)["i"] for u in lines for x in u.blocks[0].text.split("\n")] == [i for i in range(500) if i != 7]
+    finally:
+        spark.conf.set(name, before)
