@@ -43,10 +43,6 @@ class Table:
     def __init__(self, at: dict[str, int], rows: np.ndarray):
         self.at, self.rows = at, rows
 
-    def get(self, text: str) -> np.ndarray | None:
-        k = self.at.get(text)
-        return None if k is None else self.rows[k]
-
     def __getitem__(self, text: str) -> np.ndarray:
         return self.rows[self.at[text]]
 
@@ -64,11 +60,12 @@ class LanguageModel:
 
     def vector(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, or of its longest known n-grams; None if nothing of it is known."""
-        if (v := self.words.get(word)) is not None:
-            return v
+        if (k := self.words.at.get(word)) is not None:
+            return self.words.rows[k]
         for n in ORDERS:
             table = self.grams[n]
-            found = [v for g in grams_of(word, n) if (v := table.get(g)) is not None]
+            at = table.at.get
+            found = [table.rows[k] for g in grams_of(word, n) if (k := at(g)) is not None]
             if found:
                 return sum(found[1:], found[0]) / len(found)
         return None
