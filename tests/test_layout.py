@@ -84,3 +84,17 @@ def test_images_and_recognition(spark):
     assert sorted(r.xref for r in got) == [0, 1, 2, 4, 5, 6, 7, 8]
     blocks = spark.createDataFrame([("d", 1, " " * 90), ("d", 2, "x" * 80), ("d", 3, None)], "doc_id string, page int, text string")
     assert sorted(r.page for r in L.needs_recognition(blocks).collect()) == [1, 3]
+
+
+def test_lines_of_one_place_stand_by_the_named_columns(spark):
+    rows = [line(1, 1, "Upper", 20.0, 0), line(1, 2, "Left", 20.0, 12), (*line(1, 2, "Right", 20.0, 12)[:5], 50.0, 12.0, 100.0, 22.0), *[line(1, k, "body text.", 10.0, 40 * k) for k in range(4, 12)]]
+    for some in (rows, rows[::-1]):
+        got = {r.text for r in L.titled(spark.createDataFrame(some, SCHEMA).coalesce(1)).where("is_title").collect()}
+        assert got == {"Upper Left", "Right"}
+
+
+def test_of_places_of_one_area_the_first_counts(spark):
+    rows = [("d", 1, 7, 1, 50, 200, 400.0, 1000.0), ("d", 1, 7, 2, 200, 200, 400.0, 1000.0), ("d", 1, 8, 3, 200, 200, 400.0, 1000.0), ("d", 1, 8, 4, 50, 200, 400.0, 1000.0), ("d", 1, 9, 5, 200, 200, None, 1000.0)]
+    schema = "doc_id string, page int, xref int, order_no int, width int, height int, area double, page_area double"
+    for some in (rows, rows[::-1]):
+        assert [(r.xref, r.order_no) for r in L.images(spark.createDataFrame(some, schema).coalesce(1)).collect()] == [(8, 3)]
