@@ -84,3 +84,14 @@ def test_vectors(spark):
 def test_histogram(spark):
     rows = spark.createDataFrame([("a", 0.5), ("a", 2.0), ("a", 9.0), ("b", None)], "k string, v double")
     assert {(r.k, r.le): r.n for r in histogram(rows, "k", "v", [1.0, 2.0]).collect()} == {("a", 1.0): 1, ("a", 2.0): 2, ("a", math.inf): 3, ("b", 1.0): 0, ("b", 2.0): 0, ("b", math.inf): 0}
+
+
+def test_words_are_counted_by_splitting(spark, run):
+    assert [run(T.word_count, t=t) for t in ("", "  ", " a\xa0b　c ", "é\x1cx", None)] == [0, 0, 3, 2, 0]
+    plan = spark.range(1).select(T.word_count(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_count" not in plan  # five times as slow
+
+
+def test_short_tokens_and_joiners(run):
+    assert run(T.tokens, t="a b1 cd ‍ක‍ ක‍ෂ 1 12") == ["cd", "ක‍ෂ", "12"]
+    assert run(T.tokens, t="a b1 cd ක 1 12") == ["cd", "12"]
