@@ -126,10 +126,8 @@ _WEIGHTED = f"""{_BOTH}, {_fused('g', 90)},
 def title_weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query within its own title (weight 0.8) and everywhere (0.2)."""
     chunks, asked = _combined(spark, sf_dir)
-    scope = asked.select("query_id", "user_id", F.explode("titles").alias("lesson_title"))
-    owners = chunks.select("chunk_id", "user_id", "lesson_title").join(scope, ["user_id", "lesson_title"]).select("chunk_id", F.col("query_id").alias("user_id"))
     prepared = S.prepare(chunks, asked)
-    within = S.hybrid(chunks, asked.withColumn("user_id", F.col("query_id")), 90, owners=owners, prepared=prepared)
+    within = S.hybrid(chunks, S.by_titles(asked), 90, owners=S.title_owners(chunks), prepared=prepared)
     return S.title_weighted(within, S.hybrid(chunks, asked, 30, prepared=prepared), 30)
 
 

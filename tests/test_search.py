@@ -133,3 +133,31 @@ def test_dense_hook(spark):
     assert [r.embedding for r in E.dense(rows, model, 2).collect()] == [[1.0, 0.0], None, [0.0, 0.0]]
     with pytest.raises(Exception, match="the model gave"):
         E.dense(rows, model, 3).collect()
+
+
+def test_blocks_of_any_size_find_the_same(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-3, 4, (90, 3)).astype(float)  # many ties, and some zeros
+    rows = spark.createDataFrame([(k, k % 2, [float(x) for x in v[k]]) for k in range(90)] + [(90, 0, None), (91, 0, [1.0, None, 2.0]), (92, 0, [1.0]), (93, None, [1.0, 1.0, 1.0])], "chunk_id int, user_id int, embedding array<double>")
+    asked = rows.where("chunk_id % 9 = 0").withColumnRenamed("chunk_id", "query_id")
+    unit = {k: v[k] / np.sqrt(v[k] @ v[k]) for k in range(90) if v[k].any()}
+    want = {(q, c, s, n + 1) for q in unit if q % 9 == 0 for n, (s, c) in enumerate(sorted(((round(float(unit[q] @ unit[c]), 6) + 0.0, c) for c in unit if c % 2 == q % 2), key=lambda x: (-x[0], x[1]))[:4])}
+    a, b = (r.select(c, "user_id", F.col("embedding").alias("v"), F.size("embedding").alias("kind"), F.size("embedding").alias("held")).where("forall(embedding, x -> x is not null) and exists(embedding, x -> x <> 0)") for r, c in ((asked, "query_id"), (rows, "chunk_id")))
+    for most in (9, 30, 10_000):
+        pairs = S.best_pairs(a, b, 4, lambda left, right: S._cosines(left, right, -np.inf), most, most)
+        assert {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in S.top(pairs, 4).collect()} == want
+    assert {(r.query_id, r.chunk_id, r.score, r["rank"]) for r in S.dense_topk(rows, asked, 4).collect()} == want
+
+
+def test_sparse_search_moves_no_pairs_of_postings(spark):
+    texts = [" ".join(f"w{'abcdefghij'[(k * j) % 10]}" for j in range(1, 7)) for k in range(40)]
+    rows = spark.createDataFrame([(k, k % 2, t) for k, t in enumerate(texts)], "chunk_id int, user_id int, text string")
+    asked = rows.where("chunk_id < 8").withColumnRenamed("chunk_id", "query_id")
+    found = S.sparse_topk(rows, asked, 5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().analyzed().toString()  # before: a join on terms
+    sat = lambda c: c * 2.2 / (c + 1.2)
+    counts = [Counter(t.split()) for t in texts]
+    df = Counter(t for c in counts for t in c)
+    score = lambda q, c: round(sum(sat(n) * sat(counts[c][t]) * math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) for t, n in counts[q].items() if t in counts[c]), 6)
+    want = {(q, c, s) for q in range(8) for s, c in sorted(((score(q, c), c) for c in range(40) if c % 2 == q % 2 and set(counts[q]) & set(counts[c])), key=lambda x: (-x[0], x[1]))[:5]}
+    assert {(r.query_id, r.chunk_id, r.score) for r in found.collect()} == want
