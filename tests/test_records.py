@@ -140,3 +140,10 @@ def test_tokens_and_health(spark):
     assert identity.live(tokens, 50).count() == 2
     parts = spark.createDataFrame([("s", "healthy", True, False), ("s", "failed", False, False), ("t", "degraded", True, False), ("w", "healthy", None, True)], "svc string, state string, required boolean, draining boolean")
     assert {r.svc: (r.ready, r.alive) for r in identity.readiness(parts, "svc").collect()} == {"s": (True, True), "t": (False, True), "w": (False, True)}
+
+
+def test_cache_passes_over_the_entry_it_must_not_find(spark):
+    entries = spark.createDataFrame([("a", "s", [1.0, 0.0]), ("b", "s", [1.0, 0.1]), ("c", "s", [1.0, 0.1]), ("d", "t", [1.0, 0.0])], "entry_id string, scope string, embedding array<double>")
+    asked = entries.select(F.col("entry_id").alias("query_id"), "scope", "embedding")
+    got = {r.query_id: (r.entry_id, r.similarity) for r in cache.lookup(entries, asked, without="query_id").collect()}
+    assert got == {"a": ("b", 0.995037), "b": ("c", 1.0), "c": ("b", 1.0)}
