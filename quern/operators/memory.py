@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.functions import vectors as V
-from quern.operators.encoding import small
-from quern.operators.search import FEW
+from quern.operators.search import vector_pairs
 
 SEMANTIC, EPISODIC, RULES, RULE_SIMILARITY = 6, 2, 8, 0.6
 
 
 def nearest(memories: DataFrame, queries: DataFrame, kind: str, k: int) -> DataFrame:
     """(query_id, memory_id, score, rank): the ``k`` memories of a kind with the largest cosine, each at least 0."""
-    left = queries.select("query_id", "user_id", V.unit(F.col("embedding")).alias("q")).where("q is not null")
-    right = memories.where((F.col("kind") == kind) & F.col("active")).select("memory_id", "user_id", V.unit(F.col("embedding")).alias("v")).where("v is not null")
-    scored = right.join(small(left, FEW), "user_id").where(F.size("q") == F.size("v")).select("query_id", "memory_id", F.round(F.greatest(F.lit(0.0), V.dot(F.col("q"), F.col("v"))), 6).alias("score"))
+    right = memories.where((F.col("kind") == kind) & F.col("active")).select(F.col("memory_id").alias("chunk_id"), "user_id", "embedding")
+    scored = vector_pairs(queries, right, k, 0.0).select("query_id", F.col("chunk_id").alias("memory_id"), "score")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))).where(F.col("rank") <= k)
 
 
