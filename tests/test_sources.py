@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.sources import events, files, objects
@@ -87,6 +88,21 @@ def test_scan_and_hooks(spark, tmp_path):
     assert [r.error for r in limited] == ["ValueError: more than 2 units"]
 
 
+def test_small_files_share_batches(monkeypatch):
+    """A batch holds units of many files, but no more than so many or so many bytes; order and content stay."""
+    rows = [{"path": f"/a/{n}.txt", "content": b"x" * (n % 50), "reader": "text" if n % 5 else None} for n in range(2500)]
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=700)
+    for most, least in ((files.BATCH_BYTES, 3), (100, 300)):
+        monkeypatch.setattr(files, "BATCH_BYTES", most)
+        found = list(files.parsed(batches, {"text": files.read_text}, 2000))
+        assert least <= len(found) < 1300 and all(b.num_rows <= files.BATCH_UNITS for b in found)
+        got = [r for b in found for r in b.to_pylist()]
+        assert [r["path"] for r in got] == [r["path"] for r in rows]
+        assert [r["error"] or r["blocks"][0]["text"] for r in got] == [r["content"].decode() if r["reader"] else "ValueError: unsupported" for r in rows]
+    several = lambda data, name: [files.Unit(n, "p") for n in range(600)]
+    assert [b.num_rows for b in files.parsed(batches[:1], {"text": several}, 599)] == [700]
+
+
 def test_objects(spark):
     keys = [("a/b.pdf", True), ("/a", False), ("a/../b", False), ("", False), (None, False), ("a..b/c", True)]
     rows = spark.createDataFrame(keys, "k string, ok boolean").coalesce(1)
