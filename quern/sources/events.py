@@ -46,7 +46,10 @@ def decode_chunks(messages: DataFrame, value: str = "value") -> DataFrame:
     fields = [f.split(" ")[0] for f in CHUNK.split(", ")]
     text = utf8(F.col(value))
     flat, nested = F.from_json(text, CHUNK), F.from_json(text, f"chunk struct<{', '.join(f.replace(' ', ':', 1) for f in CHUNK.split(', '))}>")["chunk"]
-    rows = messages.withColumn("chunk", F.coalesce(nested, flat))
+    # One row for each message: a filter on what was read isn't pushed below this, so that no message is parsed anew for
+    # each condition.
+    read = F.struct(F.coalesce(nested, flat).alias("chunk"), json_object(F.col(value)).alias("whole"))
+    rows = messages.select("*", F.explode(F.array(read)).alias("__read")).withColumn("chunk", F.col("__read.chunk"))
     kinds = dict(f.split(" ", 1) for f in CHUNK.split(", "))
 
     def merged(name: str) -> Column:
@@ -55,11 +58,11 @@ def decode_chunks(messages: DataFrame, value: str = "value") -> DataFrame:
         return F.coalesce(F.try_element_at(F.col("chunk.extra"), F.lit(name)).try_cast(kinds[name]), F.col(f"chunk.{name}")).alias(name)
 
     rows = rows.withColumn("chunk", F.struct(*[merged(f) for f in fields]))
-    reason = F.when(~json_object(F.col(value)), "decode:json")
+    reason = F.when(~F.col("__read.whole"), "decode:json")
     for c in ("chunk_id", "doc_id", "user_id"):
         reason = reason.when(F.coalesce(F.col(f"chunk.{c}"), F.lit("")) == "", f"decode:{c}")
     filled = F.col("chunk").withField("embed_text", F.coalesce(blank_to_null(F.col("chunk.embed_text")), F.col("chunk.text"))).withField("text", F.coalesce("chunk.text", F.lit(""))).withField("block_type", F.coalesce("chunk.block_type", F.lit("text")))
-    return rows.withColumn("reject_reason", reason).withColumn("chunk", F.when(F.col("reject_reason").isNull(), filled))
+    return rows.withColumn("reject_reason", reason).withColumn("chunk", F.when(F.col("reject_reason").isNull(), filled)).drop("__read")
 
 
 def dead_letters(decoded: DataFrame, *keep: str, most: int = 512) -> DataFrame:

@@ -95,3 +95,13 @@ def test_words_are_counted_by_splitting(spark, run):
 def test_short_tokens_and_joiners(run):
     assert run(T.tokens, t="a b1 cd ‍ක‍ ක‍ෂ 1 12") == ["cd", "ක‍ෂ", "12"]
     assert run(T.tokens, t="a b1 cd ක 1 12") == ["cd", "12"]
+
+
+def test_blank_is_white_space_only(spark):
+    """Whatever counts as white space is blank and nothing else is, without the text being stripped."""
+    spaces = "".join(chr(c) for c in range(0x3001) if not chr(c).strip())
+    cases = [None, "", " ", spaces, spaces + "x", "x" + spaces, "\n\n.\n", "\u200b", "\x00", "\ud7ff", *spaces]
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    blank = T.blank_to_null(F.col("t"))
+    assert [r.x for r in rows.select(blank.alias("x")).collect()] == [t if t and t.strip() else None for t in cases]
+    assert "regexp_replace" not in rows.select(blank)._jdf.queryExecution().optimizedPlan().toString()

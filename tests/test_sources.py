@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.sources import events, files, objects
+from quern.streaming import ingest
 
 
 def office(parts: dict[str, str | bytes]) -> bytes:
@@ -160,3 +161,11 @@ def test_large_files_are_read_by_ranges(spark, tmp_path):
         assert [json.loads(x)["i"] for u in lines for x in u.blocks[0].text.split("\n")] == [i for i in range(500) if i != 7]
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_message_is_parsed_once(spark):
+    """Conditions on what was read don't have each message parsed anew."""
+    rows = spark.createDataFrame([(b"{}", "t", 0, 1)], "value binary, topic string, partition int, offset bigint").withColumn("key", F.col("value"))
+    for found in ingest.accepted(rows):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("from_json") + plan.count("JsonToStructs") + plan.count("jsontostructs") <= 2
