@@ -22,6 +22,8 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 SIGNS, LETTERS_END = (".", ",", ";", ":", "!", "?"), "\u0250"
 #: Longer segments are encoded each time, so that a table of segments stays small.
 LONGEST_KEPT = 64
+#: Bytes of names that are hashed at a time; a longer name is hashed whole.
+HASHED = 1 << 17
 #: New segments that are kept apart, before they are merged into the table.
 RECENT = 50_000
 
@@ -66,18 +68,26 @@ class Encoded:
 
 
 def names_hashed(names: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each string, which together are taken as its name: sums over its bytes, as in ``WordHashes``."""
+    """Two 64-bit hashes of each string, which together are taken as its name: sums over its bytes, as in ``WordHashes``.
+
+    Sums are taken over blocks of strings, as they need eight bytes several times for each byte; a string's hash doesn't
+    depend on what stands beside it.
+    """
     offsets = np.frombuffer(names.buffers()[1], dtype=np.int64)[names.offset : names.offset + len(names) + 1]
-    first, last = (int(offsets[0]), int(offsets[-1])) if len(names) else (0, 0)
-    data = np.frombuffer(names.buffers()[2], dtype=np.uint8)[first:last] if last > first else np.zeros(0, dtype=np.uint8)
-    start, size = offsets[:-1] - first, np.diff(offsets).astype(np.uint64)
-    up, down = powers(len(data) + 1)
-    out = []
-    for k in (1, 2):
-        with np.errstate(over="ignore"):
-            signs = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * k + 1) + np.uint64(k << 40))
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(signs[data] * up[: len(data)])])
-            out.append(mix((sums[offsets[1:] - first] - sums[start]) * down[start] + size))
+    if not len(names):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+    held = np.frombuffer(names.buffers()[2], dtype=np.uint8) if offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
+    cuts = np.searchsorted(offsets, np.arange(offsets[0] + HASHED, offsets[-1], HASHED))
+    out = np.zeros((2, len(names)), dtype=np.uint64)
+    for a, b in pairwise(np.unique([0, *cuts, len(names)]).tolist()):
+        first, last = int(offsets[a]), int(offsets[b])
+        data, start, end = held[first:last], offsets[a:b] - first, offsets[a + 1 : b + 1] - first
+        up, down = powers(len(data) + 1)
+        for k in (1, 2):
+            with np.errstate(over="ignore"):
+                signs = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(2 * k + 1) + np.uint64(k << 40))
+                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(signs[data] * up[: len(data)])])
+                out[k - 1, a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     return out[0], out[1]
 
 
@@ -89,12 +99,12 @@ class _Level:
         self.key, self.check, self.start, self.size, self.ids = none.astype(np.uint64), none.astype(np.uint64), none, none.astype(np.int32), none.astype(np.uint32)
 
     def add(self, key: np.ndarray, check: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        key = np.concatenate([self.key, key])
         order = np.argsort(key, kind="stable")
-        self.check = np.concatenate([self.check, check])[order]
-        self.start = np.concatenate([self.start, start + len(self.ids)])[order]
-        self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
-        self.key, self.ids = key[order], np.concatenate([self.ids, ids.astype(np.uint32)])
+        at = np.searchsorted(self.key, key[order], "right")
+        self.check = np.insert(self.check, at, check[order])
+        self.start = np.insert(self.start, at, start[order] + len(self.ids))
+        self.size = np.insert(self.size, at, size[order].astype(np.int32))
+        self.key, self.ids = np.insert(self.key, at, key[order]), np.concatenate([self.ids, ids.astype(np.uint32)])
 
     def places(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Where each name is; -1 where it isn't."""
@@ -133,17 +143,17 @@ class SegmentTable:
         return pa.concat_arrays([plain, cut]).take(pa.array(at))
 
     def _found(self, names: pa.LargeStringArray, ids: list, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Put the rows of known names into ``starts`` and ``sizes`` (-1 for others) of ``ids``; the hashes, and what the
-        older half alone had."""
+        """Add the rows of known names to ``ids`` and put their places into ``starts`` and ``sizes`` (-1 for others); the
+        hashes, and what the older half alone had."""
         key, check = names_hashed(names)
         order = np.argsort(key)  # neighbouring look-ups then touch neighbouring memory
         left = order
         for level in (self.recent, self.newer, self.older):
             at = level.places(key[left], check[left])
-            hit = left[at >= 0]
-            starts[hit], sizes[hit] = level.start[at[at >= 0]] + sum(map(len, ids)), level.size[at[at >= 0]]
-            ids.append(level.ids)
-            left = left[at < 0]
+            hit, left, at = left[at >= 0], left[at < 0], at[at >= 0]
+            n = level.size[at].astype(np.int64)
+            starts[hit], sizes[hit] = sum(map(len, ids)) + np.cumsum(n) - n, n
+            ids.append(gathered(level.ids, level.start[at], n))  # not the level's ids, which are megabytes for each call
         return key, check, hit
 
     def of(self, texts: list[str]) -> Encoded:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -177,3 +178,15 @@ def text_slices(column: pa.Array, most: int = 512, size: int = 4_000_000) -> Ite
         held += n
     if start < len(column):
         yield [t or "" for t in column.slice(start).to_pylist()]
+
+
+@cache
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Return freed memory that Arrow's pool and the C library (if it is glibc) keep for this worker to the system, for
+    many small objects freed between large arrays leave a worker with twice the memory that it holds."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)

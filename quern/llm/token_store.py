@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.segments import Rows, SegmentTable, in_slices, rows_of
-from quern.llm.shared import mix, shared_path, text_slices
+from quern.llm.shared import give_back, mix, shared_path, text_slices
 
 SHARD_SCHEMA = "part int, shard int, part_base bigint, n_ids bigint, min_key bigint, max_key bigint, keys array<bigint>, ends array<bigint>, seeds binary, prints binary, slots binary, payload binary"
 _ARROW = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("part_base", pa.int64()), ("n_ids", pa.int64()), ("min_key", pa.int64()), ("max_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("seeds", pa.binary()), ("prints", pa.binary()), ("slots", pa.binary()), ("payload", pa.binary())])
@@ -156,6 +156,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
                     keys.append(key)
                     ids.append(data)
                     size += len(data) // 4
+                give_back()
         if keys:
             yield _shard(part, number, base, keys, ids)
 
@@ -175,6 +176,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(F.broadcast(bases), "part").withColumn("base", F.col("before") + F.col("part_base")).drop("before")
 
 
+def rows_of_batch(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The shards of a batch one at a time, as their payloads and keys are large."""
+    return (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows))
+
+
 def documents_of(shards: DataFrame) -> DataFrame:
     """A row for each stored document, read by its key through the index: doc_id, start, n_tokens, ids_crc32."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -182,7 +188,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.to_pylist():
+            for s in rows_of_batch(batch):
                 keys, ends, payload = s["keys"], np.array([0, *s["ends"]], dtype=np.int64), memoryview(s["payload"])
                 held = np.array(sorted({k for k in keys if k is not None}), dtype=np.int64)
                 first, count = lookup(held, s["seeds"], s["prints"], s["slots"])
@@ -209,7 +215,7 @@ def fetch(shards: DataFrame, wanted: DataFrame, key_col: str = "doc_id", slice_s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.to_pylist():
+            for s in rows_of_batch(batch):
                 asked, ends, ids = np.array(s["asked"], dtype=np.int64), [0, *s["ends"]], np.frombuffer(s["payload"], "<u4")
                 first, count = lookup(asked, s["seeds"], s["prints"], s["slots"])
                 rows = [(k, ids[ends[i] : ends[i + 1]].astype(np.int64)) for k, f, c in zip(asked.tolist(), first.tolist(), count.tolist(), strict=True) for i in range(f, f + c)]

@@ -132,3 +132,21 @@ def test_perfect_hash():
     assert (first == np.arange(len(keys))).all() and (count == 1).all()
     missing = rng.integers(2**61, 2**62, 3000)
     assert token_store.lookup(missing, seeds.astype("<u4").tobytes(), prints.astype("<u4").tobytes(), table.tobytes())[1].sum() == 0
+
+
+def test_looking_segments_up_takes_memory_by_the_texts_alone():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    table = segments.SegmentTable(lambda names: (np.zeros(20 * len(names), dtype=np.uint32), np.full(len(names), 20)))
+    table.of([" ".join(["a", *(f"word{k}" for k in range(100_000))])])
+    names = pa.array([f"{k}" * 200 for k in range(1000, 6000)], pa.large_string())
+    alone = [segments.names_hashed(names.slice(k, 1)) for k in range(0, 5000, 500)]
+    for work, most in ((lambda: table.of(["a word1 word2", "a word99"]), 2_000_000), (lambda: segments.names_hashed(names), 16_000_000)):
+        tracemalloc.start()
+        found = work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    assert [tuple(h[k] for h in found) for k in range(0, 5000, 500)] == [(a[0], b[0]) for a, b in alone]
