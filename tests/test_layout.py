@@ -42,6 +42,23 @@ def test_null_documents_and_pages(spark):
     assert {r.page: r.section for r in L.with_sections(null_page).collect()} == {None: "Early", 1: "Early"}
 
 
+def test_lines_are_dealt_once_for_a_page_and_once_for_a_group(lines):
+    plan = L.with_sections(L.titled(lines))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("percentile(") == 1 and "Generate" not in plan
+    plan = L.with_sections(L.titled(lines.where("page = 2")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_sections_on_pages_of_many_groups(spark):
+    pages = [None, -(2**31), -1, 0, 1, 1023, 1024, 2**21, 2**31 - 1]
+    titled = [(d, p, 2, f"{d}{p}", 20.0, True) for d in ("a", None) for p in (None, -1, 1023, 2**21)]
+    rows = [*titled, *[(d, p, n, "body", y, False) for d in ("a", None) for p in pages for n, y in ((1, 17.9), (3, 18.0))]]
+    got = L.with_sections(spark.createDataFrame(rows, "doc_id string, page int, line_no int, text string, y0 double, is_title boolean")).where("NOT is_title").collect()
+    place = {p: n for n, p in enumerate(pages)}
+    before = lambda d, p, here: next((f"{d}{q}" for q in (2**21, 1023, -1, None) if place[q] < place[p] or (here and q == p)), None)
+    assert {(r.doc_id, r.page, r.line_no): r.section for r in got} == {(d, p, n): before(d, p, n == 3) for d in ("a", None) for p in pages for n in (1, 3)}
+
+
 @pytest.mark.parametrize(("text", "size", "want"), [("Heat", 16.0, True), ("Heat", 15.99, False), ("Heat.", 20.0, False), ("H", 20.0, False), ("12.3", 20.0, False), ("x" * 120, 20.0, True), ("x" * 121, 20.0, False), ("  ", 20.0, False), ("Heat”", 20.0, False), (None, 20.0, False)])
 def test_title_rule(spark, text, size, want):
     row = spark.createDataFrame([(text, size)], "t string, s double")
