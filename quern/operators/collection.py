@@ -16,7 +16,7 @@ CARRIED = ("table_id", "n_rows", "n_cols", "image_id", "storage_key", "storage_u
 
 def gate(embed_text: Column, kind: Column, least: int = LEAST_WORDS) -> Column:
     """Why a chunk is not stored (``empty``, ``too_short``), or null: tables and images may be short."""
-    return F.when(T.blank_to_null(embed_text).isNull(), "empty").when(~F.coalesce(kind.isin("table", "image"), F.lit(False)) & (T.counted_words(embed_text) < least), "too_short")
+    return F.when(T.blank_to_null(embed_text).isNull(), "empty").when(~F.coalesce(kind.isin("table", "image"), F.lit(False)) & ~T.counts_words(embed_text, least), "too_short")
 
 
 def payload(chunks: DataFrame) -> DataFrame:

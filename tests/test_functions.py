@@ -10,6 +10,7 @@ from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.functions.hashing import BUCKETS, bucket, murmur3
 from quern.functions.metrics import histogram
+from quern.operators.collection import gate
 
 TEXTS = ["", " ", "one", "a b  c\td\n", "ශ්‍රී ලංකාවේ water Cycle 12 a 3x", "Straße – x。Y! Z\n\n\nq", "é" * 9, "x\x1cy z"]
 
@@ -105,3 +106,22 @@ def test_blank_is_white_space_only(spark):
     blank = T.blank_to_null(F.col("t"))
     assert [r.x for r in rows.select(blank.alias("x")).collect()] == [t if t and t.strip() else None for t in cases]
     assert "regexp_replace" not in rows.select(blank)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_between_every_kind_of_space(spark):
+    kinds = [chr(k) for k in range(0x3100) if chr(k).isspace()]
+    texts = [f"{s}a{s}{s}b c{s}" for s in kinds] + ["“a” – b…　c", "".join(kinds), "a" + "".join(kinds) + "b", "a‍b​ c﻿"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.words(F.col("t")).alias("w")).collect()
+    assert {r.i: r.w for r in got} == {i: t.split() for i, t in enumerate(texts)}
+
+
+def test_the_gate_looks_no_further_than_the_last_word_it_needs(spark):
+    rng = np.random.default_rng(3)
+    parts = ["a", "é", "Z9", "٣", "…", "-", " ", " ", "\n", "\x1c", " ", "　", "ශ්‍රී", "𝐀", "😀", "_"]
+    texts = [None, "", *["".join(rng.choice(parts, size=n)) for n in rng.integers(1, 40, 400)], "- " * 50_000, "a " * 7 + "- " * 50_000, "x" * 100_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for least in (0, 1, 3, 8):
+        enough = T.counts_words(F.col("t"), least)
+        assert not rows.where(enough.isNull() | (enough != (T.counted_words(F.col("t")) >= least))).count()
+    plan = rows.select(gate(F.col("t"), F.lit("paragraph")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
