@@ -10,7 +10,7 @@ from quern.operators import cells
 from quern.operators import collection as C
 from quern.operators import search as S
 from quern.plans.registry import query, sql_dot, sql_estimate, sql_strip, sql_tokens, sql_unit, sql_uuid5, sql_words, table
-from quern.sources.tables import new_path
+from quern.sources.tables import new_path, stored
 from quern.streaming import index
 
 
@@ -108,6 +108,7 @@ def _combined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("hybrid_rrf", f"WITH {_BOTH}, {_fused('h', 30)} SELECT query_id, chunk_id, score, dense_rank, sparse_rank, rank FROM h WHERE rank <= 10", ints=("dense_rank", "sparse_rank", "rank"))
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _combined(spark, sf_dir)
+    asked = stored(asked, "queries")
     return S.hybrid(chunks, asked, 10, prepared=S.prepare(chunks, asked))
 
 
@@ -126,8 +127,9 @@ _WEIGHTED = f"""{_BOTH}, {_fused('g', 90)},
 def title_weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query within its own title (weight 0.8) and everywhere (0.2)."""
     chunks, asked = _combined(spark, sf_dir)
+    asked = stored(asked, "queries")
     prepared = S.prepare(chunks, asked)
-    within = S.hybrid(chunks, S.by_titles(asked), 90, owners=S.title_owners(chunks), prepared=prepared)
+    within = S.hybrid(chunks, S.by_titles(asked), 90, prepared=S.within_titles(prepared))
     return S.title_weighted(within, S.hybrid(chunks, asked, 30, prepared=prepared), 30)
 
 

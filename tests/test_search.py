@@ -1,8 +1,10 @@
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,53 @@ def test_sparse_search_moves_no_pairs_of_postings(spark):
     score = lambda q, c: round(sum(sat(n) * sat(counts[c][t]) * math.log(1 + (40 - df[t] + 0.5) / (df[t] + 0.5)) for t, n in counts[q].items() if t in counts[c]), 6)
     want = {(q, c, s) for q in range(8) for s, c in sorted(((score(q, c), c) for c in range(40) if c % 2 == q % 2 and set(counts[q]) & set(counts[c])), key=lambda x: (-x[0], x[1]))[:5]}
     assert {(r.query_id, r.chunk_id, r.score) for r in found.collect()} == want
+
+
+def lists(rng, n, size, words):
+    """Ragged lists of distinct small numbers, low ones more often, and how many each list has."""
+    rows = [np.unique((words * rng.random(rng.integers(0, size)) ** 3).astype(np.int64)) for _ in range(n)]
+    return rows, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r) for r in rows])), pa.int32()), pa.array(np.concatenate(rows)))
+
+
+@pytest.mark.parametrize("most", [0, 5, 1024])
+def test_term_sums_by_products_and_by_pairs(monkeypatch, most):
+    monkeypatch.setattr(S, "DENSE_TERMS", most)
+    rng = np.random.default_rng(5)
+    asked, terms = lists(rng, 70, 60, 300)
+    held, kept = lists(rng, 500, 90, 400)
+    weights, counts = rng.random(len(terms.flatten())), rng.integers(1, 9, len(kept.flatten())).astype(np.int32)
+    left = pa.table({"terms": terms, "weights": pa.ListArray.from_arrays(terms.offsets, pa.array(weights))})
+    right = pa.table({"terms": kept, "counts": pa.ListArray.from_arrays(kept.offsets, pa.array(counts))})
+    got = np.full((70, 500), -np.inf)
+    for at, some in S.term_sums(left, right):
+        got[at : at + len(some)] = some
+    w, c = (np.split(x, np.cumsum([len(r) for r in rows])[:-1]) for x, rows in ((weights, asked), (counts, held)))
+    for q in range(70):
+        mine = dict(zip(asked[q].tolist(), w[q], strict=True))
+        for k in range(500):
+            parts = [mine[t] * n * 2.2 / (n + 1.2) for t, n in zip(held[k].tolist(), c[k].tolist(), strict=True) if t in mine]
+            assert got[q, k] == (pytest.approx(sum(parts), abs=1e-9) if parts else -np.inf)
+
+
+def test_more_queries_cost_less_than_their_share():
+    rng = np.random.default_rng(6)
+    (_, terms), (_, kept) = lists(rng, 1024, 300, 100_000), lists(rng, 2000, 600, 100_000)
+    left = pa.table({"terms": terms, "weights": pa.ListArray.from_arrays(terms.offsets, pa.array(rng.random(len(terms.flatten()))))})
+    right = pa.table({"terms": kept, "counts": pa.ListArray.from_arrays(kept.offsets, pa.array(np.ones(len(kept.flatten()), np.int32)))})
+
+    def seconds(rows):
+        began = time.perf_counter()
+        for _ in S.term_sums(rows, right):
+            pass
+        return time.perf_counter() - began
+
+    seconds(left.slice(0, 64))
+    assert seconds(left) < 8 * min(seconds(left.slice(0, 64)) for _ in range(3))  # before: all of a chunk's terms for every 64 queries
+
+
+def test_titles_are_a_key_of_the_same_postings(spark, chunks):
+    asked = spark.createDataFrame([("q", "u", "water rain fire", [1.0, 0.0], ["Fire", "Water", None]), ("o", "v", "rain", [1.0, 0.0], ["Water"])], "query_id string, user_id string, text string, embedding array<double>, titles array<string>")
+    prepared = S.within_titles(S.prepare(chunks, asked))
+    assert "Join" not in prepared.postings._jdf.queryExecution().optimizedPlan().toString()  # before: postings were joined with their titles
+    got = {(r.query_id, r.chunk_id) for r in S.hybrid(chunks, S.by_titles(asked), 9, prepared=prepared).collect()}
+    assert got == {("q", "a"), ("q", "b"), ("q", "c"), ("o", "f")}
