@@ -213,3 +213,17 @@ def test_titles_are_a_key_of_the_same_postings(spark, chunks):
     assert "Join" not in prepared.postings._jdf.queryExecution().optimizedPlan().toString()  # before: postings were joined with their titles
     got = {(r.query_id, r.chunk_id) for r in S.hybrid(chunks, S.by_titles(asked), 9, prepared=prepared).collect()}
     assert got == {("q", "a"), ("q", "b"), ("q", "c"), ("o", "f")}
+
+
+def test_hits_are_compared_by_the_terms_of_postings(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [None, "- -", *(" ".join(f"w{'abcdefghij'[k]}" for k in rng.permutation(10)[: rng.integers(1, 10)]) for _ in range(38))]
+    rows = spark.createDataFrame([(f"c{k}", 0, t) for k, t in enumerate(texts)], "chunk_id string, user_id int, text string")
+    hits = spark.createDataFrame([(q, f"c{c}", float(-n), n // 2 + 1) for q in range(30) for n, c in enumerate(rng.permutation(40)[:20].tolist())], "query_id int, chunk_id string, score double, rank int")
+    want = {tuple(r) for r in S.diversify(hits.join(rows, "chunk_id"), 6).collect()}
+    postings = S.term_lists(rows, "chunk_id")
+    for most in (50, 10**6):
+        monkeypatch.setattr(S, "HIT_TERMS", most)
+        found = S.diverse(hits, postings, 6)
+        assert {tuple(r) for r in found.collect()} == want
+    assert S.diverse(hits.where("false"), postings, 6).count() == 0
