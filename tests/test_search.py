@@ -227,3 +227,13 @@ def test_hits_are_compared_by_the_terms_of_postings(spark, monkeypatch):
         found = S.diverse(hits, postings, 6)
         assert {tuple(r) for r in found.collect()} == want
     assert S.diverse(hits.where("false"), postings, 6).count() == 0
+
+
+def test_status_reads_the_collection_once(spark, chunks, tmp_path):
+    chunks.write.parquet(f"{tmp_path}/collection")
+    asked = spark.createDataFrame([("q", "u", "water rain", [1.0, 0.0])], "query_id string, user_id string, text string, embedding array<double>")
+    _, status = S.search(spark.read.parquet(f"{tmp_path}/collection"), asked, limit=3)
+    leaves = status._jdf.queryExecution().optimizedPlan().collectLeaves()
+    paths = [leaves.apply(k).relation().location().rootPaths().toString() for k in range(leaves.size())]
+    assert sum(p.endswith("/collection)") for p in paths) == 1  # for the hits' titles; before: to count as well
+    assert status.first().total_user_chunks == 6
